@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
+from . import urlrules
+from .ann import nearest
+from .kdshard import kd_shards
+from .mixing import mix_sources
+from .neardup import near_duplicates
+from .packing import pack
+from .pseudonyms import pseudonymize
 from .repeats import remove_repeats
+from .topk import top_k
+from .toxicity import held_out, score, train
+
+#: Stands for a key that a deployment reads from its secret store.
+DEMO_KEY = "drafthorse demonstration key"
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +28,64 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op1_repeats": op1_repeats}
-ORACLE_SQL: dict[str, str] = {}
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+OP2_SQL = """
+with raw as (
+  select vec_id, i, floor(64 * cast(c as double)) as x from (
+    select vec_id, unnest(embedding) as c, unnest(range(1, len(embedding) + 1)) as i
+    from embeddings where vec_id is not null and len(embedding) > 0
+  )
+), ok as (
+  select vec_id from raw group by vec_id having count(*) = count(x) and max(abs(x)) < 1e300
+), v as (
+  select raw.vec_id, list(x order by i) as q from raw join ok using (vec_id) group by raw.vec_id
+), pairs as (
+  select a.vec_id as query_id, b.vec_id as vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(read_table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(read_table(spark, sf_dir, "documents"), levels=4)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(read_table(spark, sf_dir, "pages"), urlrules.RULES)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_topk, op3_neardup, op4_pseudonyms, op5_ann, op6_mixing, op7_kdshards, op8_urlrules, op9_toxicity, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op8_urlrules": urlrules.oracle_sql(urlrules.RULES)}
