@@ -1,7 +1,7 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax and trained jointly in numpy.
 
 A word is a run of ASCII letters, digits and bytes over 127, folded to lower case. Its vector is the mean of the
-embeddings of its byte n-grams (3 to 5, marked at either end of the word) and of the word itself, hashed into
+embeddings of its byte n-grams (3 to 7, marked at either end of the word) and of the word itself, hashed into
 `buckets`; a text's vector is the mean over its words; a linear softmax gives the score. A misspelling that was never
 seen shares most of its n-grams with the word.
 
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from .bytekernel import FOLDED, U64, prefix, slices, span_hash, words
 
 BUCKETS = 1 << 18
-DIM = 8
-GRAMS = (3, 4, 5)
-PER_CLASS = 3000
+DIM = 4
+#: A few words in a hundred decide: they have to move the mean.
+SCALE = np.float32(100)
+GRAMS = (3, 4, 5, 6, 7)
+PER_CLASS = 1500
 INNER = np.zeros(256, bool)
 INNER[128:] = True
 for _a, _b in (("0", "9"), ("A", "Z"), ("a", "z")):
@@ -77,15 +79,15 @@ def _subwords(p: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -
     return (np.concatenate(found) & U64(buckets - 1)).astype(np.int64), np.concatenate(of)
 
 
-def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 60, rate: float = 0.05, seed: int = 5) -> Model:
-    """Train on texts and 0/1 labels, classes weighted alike; the bias is then set to the classes' prior."""
+def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 120, rate: float = 0.02, decay: float = 1e-5, sparse: float = 1e-4, least: int = 4, seed: int = 5) -> Model:
+    """Train on texts and 0/1 labels, classes weighted alike; a fifth is set apart to calibrate the scores to the classes' prior."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(40.0 if share else -40.0, np.zeros(buckets))
     doc, word, share, feature, of, words_n = [], [], [], [], [], 0
     rows = 0
-    for _, _, buf, offsets in slices(column, 1 << 23):
+    for _, _, buf, offsets in slices(column, 1 << 24):
         row, w, first, p, start, end = _words(buf, offsets)
         if len(row):
             pair, n = np.unique(row * np.int64(len(first)) + w, return_counts=True)
@@ -99,45 +101,80 @@ def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKET
     doc, word, share, feature, of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (doc, word, share, feature, of))
     doc, word, feature, of = (x.astype(np.int64) for x in (doc, word, feature, of))
     share = share.astype(np.float32)
-    by_word = np.argsort(word, kind="stable")
+    # words stand once a slice, so a feature's count of words bounds its count of texts from above: the rare ones go
+    grams = np.bincount(of, minlength=words_n).astype(np.float32)
+    texts = np.bincount(word, minlength=words_n)
+    often = np.bincount(feature, texts[of], buckets)[feature] >= least
+    feature, of = feature[often], of[often]
     order = np.argsort(of, kind="stable")
     feature, of = feature[order], of[order]
     used, feature = np.unique(feature, return_inverse=True)
-    back = np.argsort(feature, kind="stable")
+    feature = feature.astype(np.int32)
+    live, of = np.unique(of, return_inverse=True)
+    place = np.full(words_n, -1)
+    place[live] = np.arange(len(live))
+    grams = grams[live]
+    known = place[word] >= 0
+    doc, word, share = doc[known], place[word][known], share[known]
+    by_word, back = np.argsort(word, kind="stable"), np.argsort(feature, kind="stable")
     cuts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     word_cut, feature_cut, doc_cut, share_cut = cuts(of), cuts(feature[back]), cuts(doc), cuts(word[by_word])
-    grams = np.diff(np.append(word_cut, len(of))).astype(np.float32)[:, None]
-    seen = doc[doc_cut]
-    rng = np.random.default_rng(seed)
-    e = rng.uniform(-1 / dim, 1 / dim, (len(used), dim)).astype(np.float32)
-    w, b = rng.normal(0, 0.5, dim).astype(np.float32), np.float32(0)
+    seen, of_back, doc_by_word, share_by_word = doc[doc_cut], of[back], doc[by_word], share[by_word]
     y = toxic.astype(np.float32)
-    cost = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()).astype(np.float32)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
-    for t in range(1, epochs + 1):
-        v = np.add.reduceat(e[feature], word_cut, axis=0) / grams
-        d = np.zeros((rows, dim), np.float32)
-        d[seen] = np.add.reduceat(v[word] * share[:, None], doc_cut, axis=0)
-        d *= 30  # a few words in a hundred decide: let them move the sum
-        z = d @ w + b
+    apart = np.arange(rows) % 5 == 4  # for the calibration below
+    if rows < 50 or not (toxic & ~apart).any() or not (~toxic & ~apart).any() or not (toxic & apart).any() or not (~toxic & apart).any():
+        apart[:] = False
+    cost = np.where(toxic, 0.5 / (toxic & ~apart).sum(), 0.5 / (~toxic & ~apart).sum()).astype(np.float32)
+    cost[apart] = 0
+
+    def to_features(per_text: np.ndarray, power: int = 1) -> np.ndarray:
+        per_word = np.add.reduceat(per_text[doc_by_word] * share_by_word**power, share_cut) / grams**power
+        return np.add.reduceat(per_word[of_back], feature_cut)
+
+    # steps are scaled by each feature's curvature and `decay`: what is in most texts does not swing, and what is in
+    # few texts moves little, so single texts are not learnt by heart
+    curve = 0.25 * SCALE**2 * (to_features(cost, 2) + to_features(cost) ** 2) + decay
+    rng = np.random.default_rng(seed)
+    e = rng.uniform(-0.01, 0.01, (len(used), dim)).astype(np.float32)
+    w, b = (rng.choice(np.array([-1, 1], np.float32), dim) / np.sqrt(dim)).astype(np.float32), np.float32(0)
+    speed = [np.zeros_like(e), np.zeros_like(w), np.float32(0)]
+    for _ in range(epochs):
+        # the gradient of an embedding lies along w: sums over words and texts need only the product of the two
+        theta = e @ w
+        v = np.add.reduceat(theta[feature], word_cut) / grams
+        z = np.full(rows, b, np.float32)
+        z[seen] += SCALE * np.add.reduceat(v[word] * share, doc_cut)
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * cost
-        gd = 30 * g[:, None] * w
-        gv = np.add.reduceat(gd[doc[by_word]] * share[by_word, None], share_cut, axis=0) / grams
-        ge = np.add.reduceat(gv[of[back]], feature_cut, axis=0)
-        for x, gx, (m, s) in zip(("e", "w", "b"), (ge + 1e-8 * e, d.T @ g + 1e-6 * w, g.sum()), state, strict=True):
-            m += (1 - 0.9) * (gx - m)
-            s += (1 - 0.99) * (gx * gx - s)
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-10)
-            if x == "e":
-                e -= step
-            elif x == "w":
-                w -= step
-            else:
-                b = np.float32(b - step)
+        gt = SCALE * to_features(g) + decay * theta
+        for k, step in enumerate((rate * (gt / curve)[:, None] * w, 0.1 * rate * (gt @ e), rate * g.sum())):
+            speed[k] = np.float32(0.9) * speed[k] - np.float32(step) if k == 2 else np.float32(0.9) * speed[k] - step.astype(np.float32)
+        e, w, b = e + speed[0], w + speed[1], np.float32(b + speed[2])
+        # features without steady evidence go to zero as a whole
+        norm = np.sqrt(np.square(e).sum(axis=1)) + np.float32(1e-12)
+        e *= np.maximum(0, 1 - 10 * rate * sparse / curve / norm)[:, None].astype(np.float32)
     weight = np.zeros(buckets)
-    weight[used] = 30.0 * (e @ w)
+    weight[used] = SCALE * (e @ w)
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    return Model(float(b) + float(np.log(prior / (1 - prior))), weight)
+    z = np.zeros(rows)
+    z[seen] = SCALE * np.add.reduceat((np.add.reduceat((e @ w)[feature], word_cut) / grams)[word] * share, doc_cut)
+    apart = apart if apart.any() else np.ones(rows, bool)
+    return _calibrated(Model(float(b), weight), z[apart], toxic[apart], prior)
+
+
+def _calibrated(model: Model, z: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
+    """The model with a * z + c for its sums z: shrunk weights are stretched again, and the bias fits the classes' prior."""
+    cost = np.where(toxic, prior / max(1, toxic.sum()), (1 - prior) / max(1, (~toxic).sum()))
+    a, c = 1.0, model.bias
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + c, -60, 60)))
+        g, h = cost * (p - toxic), cost * p * (1 - p)
+        grad = np.array([(g * z).sum() + 1e-3 * (a - 1), g.sum()])
+        hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+        step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        a, c = a - step[0], c - step[1]
+    a = max(a, 0.1)
+    return Model(float(c), model.weight * a)
 
 
 def held_out(id_: Column) -> Column:
