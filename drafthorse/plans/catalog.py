@@ -1,7 +1,8 @@
-"""Registry of the queries and of the SQL that says the same."""
+"""All queries of the core package and the SQL that says the same."""
 
 from __future__ import annotations
 
+from . import page_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "j02_zero_miss_split"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
