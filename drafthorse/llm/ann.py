@@ -132,7 +132,7 @@ def _tiled(left: DataFrame, right: DataFrame, k: int, dim: int, tile: int) -> Da
     return renewed(asks).groupBy("key", "piece").cogroup(renewed(rows).groupBy("key", "piece")).applyInArrow(_rerank(k, dim), "query_id long, id long, score double")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, turns: int = 1, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, tables: int = TABLES, probes: int = PROBES, turns: int = 1, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): for each row that is_query (a condition on id_col) its k nearest other rows found.
 
     Nearness is the inner product of the original vectors in double precision; ties go to the smaller id.

@@ -74,7 +74,7 @@ def _search(k: int, dim: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column | str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, id_col, score): for each row that is_query (a condition on id_col) its k best other rows.
 
     A component x becomes floor(scale * x), x as double; the score is the integer inner product; ties go to the

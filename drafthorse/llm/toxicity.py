@@ -9,7 +9,7 @@ Training runs on the driver on a bounded sample: `per_class` labelled documents
 hash, whatever the table's size. Once trained, embedding times weight is one number a bucket, so an executor scores a
 text with a table of `buckets` floats, over every word of the whole text.
 
-Defined cases. Null or wordless texts score by the bias alone. Labels that are null or whose document is absent teach
+Defined cases. Null or wordless texts score by the bias alone, which is trained to call them clean. Labels that are null or whose document is absent teach
 nothing; of several labels of one document the highest stands. With no label of one class the score is the share of
 the other: 0 with no labels at all. Null ids are not held out. Repeated rows are scored alike. Other columns are not
 read. An empty table gives an empty result.
@@ -31,6 +31,8 @@ BUCKETS = 1 << 18
 DIM = 4
 #: A few words in a hundred decide: they have to move the mean.
 SCALE = np.float32(100)
+#: Weight of one more text, without words and not toxic: what has no evidence is clean.
+EMPTY = 0.25
 GRAMS = (3, 4, 5, 6, 7)
 PER_CLASS = 1500
 INNER = np.zeros(256, bool)
@@ -146,7 +148,7 @@ def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKET
         z[seen] += SCALE * np.add.reduceat(v[word] * share, doc_cut)
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * cost
         gt = SCALE * to_features(g) + decay * theta
-        for k, step in enumerate((rate * (gt / curve)[:, None] * w, 0.1 * rate * (gt @ e), rate * g.sum())):
+        for k, step in enumerate((rate * (gt / curve)[:, None] * w, 0.1 * rate * (gt @ e), rate * (g.sum() + EMPTY / (1 + np.exp(-b))))):
             speed[k] = np.float32(0.9) * speed[k] - np.float32(step) if k == 2 else np.float32(0.9) * speed[k] - step.astype(np.float32)
         e, w, b = e + speed[0], w + speed[1], np.float32(b + speed[2])
         # features without steady evidence go to zero as a whole
@@ -164,6 +166,7 @@ def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKET
 def _calibrated(model: Model, z: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
     """The model with a * z + c for its sums z: shrunk weights are stretched again, and the bias fits the classes' prior."""
     cost = np.where(toxic, prior / max(1, toxic.sum()), (1 - prior) / max(1, (~toxic).sum()))
+    z, toxic, cost = np.append(z, 0.0), np.append(toxic, False), np.append(cost, EMPTY * (1 - prior))
     a, c = 1.0, model.bias
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + c, -60, 60)))
