@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Shapes of marker codes, and the words that tell a fence from a gate.
 CODE = r"^[A-Za-z]{0,3}[-.]?\d{1,4}[A-Za-z]?$"
@@ -69,13 +70,13 @@ def placement_key(c: Column) -> tuple[Column, Column]:
     return get(1), get(2)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def text_token(s: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, trimmed, upper case."""
     return s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).upper())
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def recover_json_array(s: pd.Series) -> pd.Series:
     """The complete elements of a JSON array in a reply that may be fenced, wrapped in words, or cut off.
 
