@@ -42,13 +42,13 @@ def nearest_ops(tips: DataFrame, segs: DataFrame, k: int = 3, key: str = "grp",
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def runs(touching: DataFrame, nodes: DataFrame, node: str = "op_index") -> DataFrame:
-    """(node, run): connected runs, numbered from 0 by size (large first), then by their least operation."""
+def runs(touching: DataFrame, nodes: DataFrame, by: str = "page", node: str = "op_index") -> DataFrame:
+    """(by, node, run, n): connected runs of each page, numbered from 0 by size (large first), then by their least operation."""
     found = connected_components(touching, "a", "b")
-    x = nodes.select(node).join(found, nodes[node] == found["node"], "left").select(node, F.coalesce("component", F.col(node)).alias("least"))
-    sizes = x.groupBy("least").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("run", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("int"))
-    return x.join(sizes, "least").select(node, "run", "n")
+    x = nodes.select(by, node).join(found, nodes[node] == found["node"], "left").select(by, node, F.coalesce("component", F.col(node)).alias("least"))
+    sizes = x.groupBy(by, "least").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("run", (F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "least")) - 1).cast("int"))
+    return x.join(sizes, [by, "least"]).select(by, node, "run", "n")
 
 
 def fuse(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:

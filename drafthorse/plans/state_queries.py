@@ -245,10 +245,9 @@ def x03(v):
 @query("x04_time_family", "select event_id, floor(epoch_us(ts) / 1000000)::bigint % 86400 as second_of_day, date_diff('second', ts, (select max(ts) from events)) > 45 as stale from events")
 def x04(v):
     e = v.table("events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    last = e.agg(F.max("us").alias("last"))
-    x = e.join(F.broadcast(last))  # one row
-    sec = lambda c: F.floor(F.col(c) / 1000000)
-    return x.select("event_id", (sec("us") % 86400).alias("second_of_day"), (sec("last") - sec("us") > 45).alias("stale"))
+    last = e.agg(F.max("us")).scalar()
+    sec = lambda c: F.floor(c / 1000000)
+    return e.select("event_id", (sec(F.col("us")) % 86400).alias("second_of_day"), (sec(last) - sec(F.col("us")) > 45).alias("stale"))
 
 
 @query("x05_array_family", "select op_index, min(x) as lo, max(x) as hi, arg_min(x, k) as first, arg_max(x, k) as last, round(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 8) as length from (select *, lag(x) over w as px, lag(y) over w as py from ops window w as (partition by op_index order by k)) group by op_index", ("ops",))

@@ -266,15 +266,14 @@ def w03(v):
 
 @query("w05_sequential_groups", """
 with f as (select op_index, max(case when k = 0 then x end) as sx, max(case when k = 0 then y end) as sy, max(case when k = 31 then x end) as ex, max(case when k = 31 then y end) as ey, max(grp) as grp from ops group by op_index),
-b as (select *, case when grp <> lag(grp) over o or (sx - lag(ex) over o) * (sx - lag(ex) over o) + (sy - lag(ey) over o) * (sy - lag(ey) over o) > 0.04 then 1 else 0 end as brk from f window o as (order by op_index))
+b as (select *, case when (sx - lag(ex) over o) * (sx - lag(ex) over o) + (sy - lag(ey) over o) * (sy - lag(ey) over o) > 0.04 then 1 else 0 end as brk from f window o as (partition by grp order by op_index))
 select op_index, cast(sum(brk) over (partition by grp order by op_index rows unbounded preceding) as int) as group_id from b""", ("ops",))
 def w05(v):
     at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     f = v.ops.groupBy("op_index").agg(at(0, "x").alias("sx"), at(0, "y").alias("sy"), at(31, "x").alias("ex"), at(31, "y").alias("ey"), F.max("grp").alias("grp"))
-    o = Window.orderBy("op_index")
+    o = Window.partitionBy("grp").orderBy("op_index")
     dx, dy = F.col("sx") - F.lag("ex").over(o), F.col("sy") - F.lag("ey").over(o)
-    brk = (F.col("grp") != F.lag("grp").over(o)) | (dx * dx + dy * dy > 0.04)
-    x = f.withColumn("brk", brk)
+    x = f.withColumn("brk", dx * dx + dy * dy > 0.04)
     return sequence.islands(x, ["grp"], ["op_index"], F.col("brk"), "group_id").select("op_index", "group_id")
 
 
@@ -336,6 +335,18 @@ def w12(v):
     return connected_components(e, "a", "b").select(F.col("node").alias("op_index"), F.col("component").alias("least"))
 
 
+@query("w12_run_numbers", """
+with recursive s as (select p_partkey as op_index, p_size as page from part where p_size <= 10), t as (select a.op_index as a, b.op_index as b from s a join s b on a.page = b.page and b.op_index > a.op_index and b.op_index - a.op_index <= 40),
+e as (select a, b from t union all select b as a, a as b from t), reach(node, to_) as (select op_index, op_index from s union select r.node, e.b from reach r join e on r.to_ = e.a), c as (select node, min(to_) as least from reach group by node),
+z as (select s.page, c.least, count(*) as n from s join c on s.op_index = c.node group by 1, 2), k as (select page, least, n, cast(row_number() over (partition by page order by n desc, least) - 1 as int) as run from z)
+select s.page, s.op_index, k.run, k.n from s join c on s.op_index = c.node join k on k.page = s.page and k.least = c.least""")
+def w12b(v):
+    s = v.table("part").filter("p_size <= 10").select(F.col("p_partkey").alias("op_index"), F.col("p_size").alias("page"))
+    w = Window.partitionBy("page").orderBy("op_index")
+    t = s.select(F.col("op_index").alias("b"), F.lag("op_index").over(w).alias("a")).filter("b - a <= 40")
+    return linetypes.runs(t, s)
+
+
 @query("w19_stable_order", "select page, idx, cast(row_number() over (partition by page order by y0, x0, idx) as int) as place from items", ("items",))
 def w19(v):
     return v.items.select("page", "idx", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "idx")).alias("place"))
