@@ -8,9 +8,10 @@ MinHash values, are computed from 48 values; a table is keyed by one hash of eit
 
 Candidates are narrowed in steps that lose no table hit: documents with the same set are one, hashes that no other
 set has are put aside, tables are keyed from the rest, and keys of one document are put aside. Then every document
-is held against the first one of its tables; only tables whose members are not yet in one component are looked at
-in full, in tiles of members, and of those pairs only the ones in different components whose 48 values agree in at
-least 22 (5 standard deviations below 36) are held against each other. So a group of N copies costs N comparisons.
+is held against the first one of its tables. Tables whose members are not yet in one component are joined to clusters;
+in a cluster the documents outside its largest component are held against all of it, in tiles of bounded size, by
+posting lists of the whole sets, and a tile hands on only links that join components. So a group of N copies costs N
+comparisons, and no list of pairs grows with the square of a group.
 
 Defined cases. Null text, empty text and text of white space have an empty set, are linked with nothing and keep
 their own id. Rows with a null id are left out. Rows that repeat an id are judged row by row on their own text, but
@@ -34,7 +35,6 @@ SHINGLE = 5
 SMALL = 12
 ROWS = 2
 VALUES = 2 * SMALL * ROWS
-AGREE = 22
 TILE = 1024
 _rng = np.random.default_rng(77003)
 _MUL = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
@@ -100,20 +100,39 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column(0).slice(at, end - at), lists], schema=types)
 
 
-def _tile_pairs(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs (a, b) of the members of one tile that are in different components and agree in enough values."""
-    lo, hi = key[1].as_py(), key[2].as_py()
-    ids, comp, part = (table.column(n).to_numpy() for n in ("id", "component", "part"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(ids), VALUES)
-    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-    one, two = [], []
-    for i in left:
-        agree = (sig[right] == sig[i]).sum(axis=1)
-        j = right[(agree >= AGREE) & (comp[right] != comp[i]) & ((lo != hi) | (right > i))]
-        one.append(np.full(len(j), ids[i]))
-        two.append(ids[j])
-    one, two = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (one, two))
-    return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+def _tile_links(percent: int):
+    """Links (a, b) that join components, between the left and the right rows (id, component, grams) of a tile."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+            grams = t.column("grams").combine_chunks()
+            return t.column("id").to_numpy(), t.column("component").to_numpy(), grams.offsets.to_numpy().astype(np.int64), grams.values.to_numpy(zero_copy_only=False)
+
+        one, two = [], []
+        if left.num_rows and right.num_rows:
+            (ids, comp, bounds, grams), (rid, rcomp, rbounds, rgrams) = columns(left), columns(right)
+            rsize = np.diff(rbounds)
+            owner = np.repeat(np.arange(len(rid)), rsize)
+            order = np.argsort(rgrams[rbounds[0] : rbounds[-1]], kind="stable")
+            posted, owner = rgrams[rbounds[0] : rbounds[-1]][order], owner[order]
+            names, place = np.unique(np.concatenate([comp, rcomp]), return_inverse=True)
+            root = np.arange(len(names))
+            mine, theirs = place[: len(comp)], place[len(comp) :]
+            for i in np.argsort(ids, kind="stable"):
+                own = grams[bounds[i] : bounds[i + 1]]
+                lo = np.searchsorted(posted, own, "left")
+                n = np.searchsorted(posted, own, "right") - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(rid))
+                linked = np.flatnonzero((100 * common >= percent * (len(own) + rsize - common)) & (root[theirs] != root[mine[i]]))
+                for r in np.unique(root[theirs[linked]]):
+                    j = linked[root[theirs[linked]] == r]
+                    j = j[np.argmin(rid[j])]
+                    one.append(min(ids[i], rid[j])), two.append(max(ids[i], rid[j]))
+                    root[root == r] = root[mine[i]]
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    return run
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,17 +177,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("t", "id", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("t").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 < c2")
-    open_ = materialize(placed.join(split.select("t", "n"), "t"))
+    open_ = materialize(placed.join(split.select("t"), "t", "left_semi"))
     if not open_.isEmpty():
-        parts = F.ceil(F.col("n") / TILE).cast("int")
-        dealt = (
-            open_.join(sets_of.select("id", "sig"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            .withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-        )
-        more = dealt.groupBy("t", "lo", "hi").applyInArrow(_tile_pairs, "a long, b long").distinct()
-        links = materialize(links.unionByName(confirm(more, sets, percent)))
-        found = connected_components(links, "a", "b")
+        heads = open_.groupBy("t").agg(F.min("id").alias("head"))
+        clusters = connected_components(open_.join(heads, "t").select(F.col("id").alias("a"), F.col("head").alias("b")), "a", "b")
+        inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(open_.select("id", "component").distinct(), "id")
+        inside = materialize(inside)
+        sizes = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+        parts = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+        sizes = sizes.select("cluster", F.col("most.component").alias("largest"), parts(F.col("n") - F.col("most.n")).alias("lefts"), parts(F.col("n")).alias("rights"))
+        whole = inside.join(sizes, "cluster").join(sets, "id")
+        hashed = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        keys = ["cluster", "lo", "hi"]
+        cols = [F.col(c).alias(c) for c in (*keys, "id", "component", "grams")]
+        left = whole.filter("component <> largest").withColumn("lo", hashed(F.col("lefts"))).withColumn("hi", every("rights")).select(cols)
+        right = whole.withColumn("hi", hashed(F.col("rights"))).withColumn("lo", every("lefts")).select(cols)
+        more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile_links(percent), "a long, b long")
+        more = materialize(more.distinct())
+        if not more.isEmpty():
+            links = materialize(links.unionByName(more))
+            found = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     seen = found.join(degree, "node", "left")
     out = rows.select("id", "n").join(seen, rows["id"] == seen["node"], "left")
