@@ -8,33 +8,38 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+ROWS_A_TASK = 50_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge to another; component is the smallest node in it.
 
     Each round sends every node to the neighbour (or itself) of least hashed priority and contracts the edges;
     the priorities make the expected number of rounds logarithmic, also for long chains in id order. Nothing is
-    collected but the number of edges that are left.
+    collected but the number of edges that are left; tasks are as many as these ask for.
     """
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     e = materialize(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = total = e.count()
+    tasks = lambda n: max(4, -(-n // ROWS_A_TASK))
     labels = None
     for turn in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        k = tasks(left)
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(k)
         rank = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("p"), c.alias("v"))
         to = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
-        to = materialize(to.select(F.col("a").alias("v"), F.least("m", rank(F.col("a")))["v"].alias("to")))
+        to = materialize(to.select(F.col("a").alias("v"), F.least("m", rank(F.col("a")))["v"].alias("to")).coalesce(k))
         labels = to.select(F.col("v").alias("node"), F.col("to").alias("root")) if labels is None else (
-            labels.join(to, labels["root"] == to["v"], "left").select("node", F.coalesce("to", "root").alias("root"))
+            labels.join(to, labels["root"] == to["v"], "left").select("node", F.coalesce("to", "root").alias("root")).coalesce(tasks(total))
         )
         one, two = to.select(F.col("v").alias("a"), F.col("to").alias("ra")), to.select(F.col("v").alias("b"), F.col("to").alias("rb"))
-        e = materialize(
-            e.join(one, "a").join(two, "b").filter("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        if e.isEmpty():
+        e = e.coalesce(k).join(one.coalesce(k), "a").coalesce(k).join(two.coalesce(k), "b").filter("ra <> rb")
+        e = materialize(e.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).coalesce(k).distinct().coalesce(k))
+        left = e.count()
+        if not left:
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    labels = materialize(labels)
+    labels = materialize(labels.coalesce(tasks(total)))
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(least, "root").select("node", "component")
+    return labels.join(least, "root").select("node", "component").coalesce(tasks(total))
