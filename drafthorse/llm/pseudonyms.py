@@ -26,19 +26,25 @@ _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:1[8
 _NAMED = '(?:password|passwd|secret|token|api_key|apikey)(?: = "| = |: |="|=|:)'
 #: What each kind looks like, in order of preference where two begin at one place.
 KINDS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<={_NAMED})[A-Za-z0-9+/_.-]{{8,128}}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "date": rf"(?<![0-9./-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR})(?![0-9/-]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
+    "mail": r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": rf"(?<=[=:\" ])(?<=[=:\"]|[=:] )(?<={_NAMED})[A-Za-z0-9+/_.-]{{8,128}}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "phone": r"(?<!\+)(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])",
+    "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ssn": r"(?<!-)(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "date": rf"(?<![./-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR})(?![0-9/-]|\.[0-9])",
+    "card": r"(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
-PATTERN = "|".join(KINDS.values())
+#: A value begins where no letter or digit stands before it: one look rules out most places of a text.
+PATTERN = f"(?<![A-Za-z0-9])(?:{'|'.join(KINDS.values())})"
 #: No kind is without one of these, so most texts need one cheap look.
-HINT = "[0-9@=:]"
+HINT = "[0-9@=:]|AKIA"
+
+
+def let(x: Column, f) -> Column:
+    """f(x), with x worked out once: what a lambda refers to is otherwise worked out at every step."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def feistel(a: Column, b: Column, radix_a: Column | int, radix_b: Column | int, key: str, label: Column | str, inverse: bool = False) -> Column:
@@ -66,20 +72,28 @@ def _part(s: Column, first: Column | int, size: Column | int) -> Column:
 
 def _digits_permuted(digits: Column, key: str, label: Column | str, inverse: bool) -> Column:
     """A string of 2 to 18 digits as another of the same length."""
-    n = F.length(digits)
-    half = F.floor(n / 2).cast("int")
-    radix = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    s = feistel(_part(digits, 1, half).cast("long"), _part(digits, half + 1, n).cast("long"), radix(half), radix(n - half), key, label, inverse)
-    return F.concat(F.lpad(s["a"].cast("string"), half, "0"), F.lpad(s["b"].cast("string"), n - half, "0"))
+
+    def run(d: Column) -> Column:
+        n = F.length(d)
+        half = F.floor(n / 2).cast("int")
+        radix = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        s = feistel(_part(d, 1, half).cast("long"), _part(d, half + 1, n).cast("long"), radix(half), radix(n - half), key, label, inverse)
+        return let(s, lambda p: F.concat(F.lpad(p["a"].cast("string"), half, "0"), F.lpad(p["b"].cast("string"), n - half, "0")))
+
+    return let(digits, run)
 
 
 def fill(template: Column, chars: Column, what: str = "[0-9]") -> Column:
     """The template with its characters of this class replaced by chars, one after the other."""
-    put = lambda s, c: F.when(c.rlike(what), F.struct(F.concat(s["s"], F.substring(chars, s["k"], F.lit(1))).alias("s"), (s["k"] + 1).alias("k"))).otherwise(
-        F.struct(F.concat(s["s"], c).alias("s"), s["k"].alias("k"))
-    )
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
-    return F.aggregate(F.split(template, ""), start, put)["s"]
+
+    def run(chars: Column) -> Column:
+        put = lambda s, c: F.when(c.rlike(what), F.struct(F.concat(s["s"], F.substring(chars, s["k"], F.lit(1))).alias("s"), (s["k"] + 1).alias("k"))).otherwise(
+            F.struct(F.concat(s["s"], c).alias("s"), s["k"].alias("k"))
+        )
+        return F.aggregate(F.split(template, ""), start, put)["s"]
+
+    return let(chars, run)
 
 
 def _only(s: Column, keep: str) -> Column:
@@ -88,14 +102,17 @@ def _only(s: Column, keep: str) -> Column:
 
 def _luhn(digits: Column, odd: int) -> Column:
     """Sum of the digits from the right, those at places i with i % 2 == odd (from 0) doubled and their digits added."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        twice = 2 * d
-        return total + F.when(i % 2 != odd, d).otherwise(twice - F.when(twice > 9, 9).otherwise(0))
+    def run(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def add(total: Column, i: Column) -> Column:
+            d = F.substring(digits, n - i, F.lit(1)).cast("int")
+            return total + F.when(i % 2 != odd, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+
+    return let(digits, run)
 
 
 def _mod97(s: Column) -> Column:
@@ -108,56 +125,68 @@ def _mod97(s: Column) -> Column:
 
 
 def _card(m: Column, key: str, inverse: bool) -> Column:
-    d = _only(m, "0-9")
-    n = F.length(d)
-    body = F.concat(_part(d, 1, 1), _digits_permuted(_part(d, 2, n - 2), key, F.concat(F.lit("card"), _part(d, 1, 1)), inverse))
-    check = F.pmod(-_luhn(body, 0), F.lit(10)).cast("string")
-    return F.when(_luhn(d, 1) % 10 == 0, fill(m, F.concat(body, check))).otherwise(m)
+    def run(d: Column) -> Column:
+        body = F.concat(_part(d, 1, 1), _digits_permuted(_part(d, 2, F.length(d) - 2), key, F.concat(F.lit("card"), _part(d, 1, 1)), inverse))
+        whole = let(body, lambda x: F.concat(x, F.pmod(-_luhn(x, 0), F.lit(10)).cast("string")))
+        return F.when(_luhn(d, 1) % 10 == 0, fill(m, whole)).otherwise(m)
+
+    return let(_only(m, "0-9"), run)
 
 
 def _iban(m: Column, key: str, inverse: bool) -> Column:
-    s = _only(m, "A-Z0-9")
-    country, rest = _part(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    digits = _only(rest, "0-9")
-    n = F.length(digits)
-    head = F.greatest(n - 18, F.lit(0))
-    new = fill(rest, F.concat(_part(digits, 1, head), _digits_permuted(F.substring(digits, head + 1, n), key, F.concat(F.lit("iban"), country), inverse)))
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = (_mod97(F.concat(rest, _part(s, 1, 4))) == 1) & (n >= 2)
-    return F.when(valid, fill(m, F.concat(country, check, new), "[A-Z0-9]")).otherwise(m)
+    def run(s: Column) -> Column:
+        country, rest = _part(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
+
+        def numbers(digits: Column) -> Column:
+            n = F.length(digits)
+            head = F.greatest(n - 18, F.lit(0))
+            new = fill(rest, F.concat(_part(digits, 1, head), _digits_permuted(F.substring(digits, head + 1, n), key, F.concat(F.lit("iban"), country), inverse)))
+            check = lambda x: F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
+            whole = let(new, lambda x: F.concat(country, check(x), x))
+            return F.when((_mod97(F.concat(rest, _part(s, 1, 4))) == 1) & (n >= 2), fill(m, whole, "[A-Z0-9]")).otherwise(m)
+
+        return let(_only(rest, "0-9"), numbers)
+
+    return let(_only(m, "A-Z0-9"), run)
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
-    d = _only(m, "0-9")
-    ten = F.right(d, F.lit(10))
-    s = feistel(_part(ten, 1, 3).cast("long") - 200, _part(ten, 4, 7).cast("long") - 2_000_000, 800, 8_000_000, key, "phone", inverse)
-    new = F.concat((s["a"] + 200).cast("string"), (s["b"] + 2_000_000).cast("string"))
-    return fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
+    def run(d: Column) -> Column:
+        ten = F.right(d, F.lit(10))
+        s = feistel(_part(ten, 1, 3).cast("long") - 200, _part(ten, 4, 7).cast("long") - 2_000_000, 800, 8_000_000, key, "phone", inverse)
+        new = let(s, lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")))
+        return fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
+
+    return let(_only(m, "0-9"), run)
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
     o = [F.split_part(m, F.lit("."), F.lit(i)).cast("long") for i in range(1, 5)]
     s = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip", inverse)
-    return F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(s[h] / 256), s[h] % 256)))
+    return let(s, lambda p: F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(p[h] / 256), p[h] % 256))))
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
     area, group, serial = (_part(m, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
     s = feistel(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn", inverse)
-    new = s["a"] + 1 + F.when(s["a"] >= 665, 1).otherwise(0)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.concat_ws("-", pad(new, 3), pad(F.floor(s["b"] / 9999) + 1, 2), pad(s["b"] % 9999 + 1, 4))
+    new = lambda p: p["a"] + 1 + F.when(p["a"] >= 665, 1).otherwise(0)
+    return let(s, lambda p: F.concat_ws("-", pad(new(p), 3), pad(F.floor(p["b"] / 9999) + 1, 2), pad(p["b"] % 9999 + 1, 4)))
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
     """Over the 146,097 days (189 * 773) of the 400 years from 1800."""
     iso = m.rlike("^[0-9]{4}-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(m, "[./]", "-"), "dd-MM-yyyy"))
-    n = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    s = feistel(F.floor(n / 773), n % 773, 189, 773, key, "date", inverse)
-    new = F.date_add(F.lit("1800-01-01").cast("date"), (s["a"] * 773 + s["b"]).cast("int"))
-    digits = F.when(iso, F.date_format(new, "yyyyMMdd")).otherwise(F.date_format(new, "ddMMyyyy"))
-    return F.when(day.isNotNull(), fill(m, digits)).otherwise(m)
+    first = F.lit("1800-01-01").cast("date")
+
+    def run(day: Column) -> Column:
+        n = F.datediff(day, first)
+        s = feistel(F.floor(n / 773), n % 773, 189, 773, key, "date", inverse)
+        new = let(s, lambda p: F.date_add(first, (p["a"] * 773 + p["b"]).cast("int")))
+        digits = F.when(iso, F.date_format(new, "yyyyMMdd")).otherwise(F.date_format(new, "ddMMyyyy"))
+        return F.when(day.isNotNull(), fill(m, digits)).otherwise(m)
+
+    return let(F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(m, "[./]", "-"), "dd-MM-yyyy")), run)
 
 
 def _digest(m: Column, key: str, label: str) -> Column:
