@@ -154,3 +154,15 @@ def test_incremental(spark, tmp_path):
     incremental.drain(*args)
     incremental.drain(*args)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v=1").select("k", "v").collect())) == [(1, 1), (2, 5), (3, 3)]
+
+
+def test_matching():
+    from drafthorse.operators import matching
+
+    p = pd.DataFrame({"a": [1, 1, 2, 3], "b": [1, 2, 1, 2], "cost": [0.0, 1.0, 0.0, 0.0]})
+    got = matching.assign(p)
+    assert len(got) == 2 and got["a"].is_unique and got["b"].is_unique
+    v = pd.DataFrame({"key": [4, 1, 2, 3], "value": [1.0, 0.0, 0.1, 5.0]})
+    assert matching.families(v, 0.5).set_index("key")["family"].to_dict() == {1: 0, 2: 0}
+    d = matching.discover(pd.DataFrame({"atom": [1, 2, 3, 4, 5], "motifs": [[1], [1, 2], [1, 2], [2], [2]]}), 2)
+    assert d.set_index("atom")["motif"].to_dict() == {2: 2, 3: 2, 4: 2, 5: 2}
