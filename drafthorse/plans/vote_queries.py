@@ -10,9 +10,6 @@ from ..operators import linetypes, sequence, votes
 from ..operators.spatial import box_join
 from .registry import GAP, query
 
-_BOUND = "b as (select grp, line_type_number as number, distance from bindings where not residual)"
-
-
 @query("a01_vote_tally", "select grp, line_type_number, count(*) as votes, round(sum(distance), 4) as weight from bindings where not residual group by 1, 2", ("bindings",))
 def a01(v):
     return votes.tally(v.bindings.filter("not residual"), ["grp"]).withColumn("weight", F.round("weight", 4))
