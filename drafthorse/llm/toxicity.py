@@ -34,7 +34,7 @@ SCALE = np.float32(100)
 #: Weight of one more text, without words and not toxic: what has no evidence is clean.
 EMPTY = 0.25
 GRAMS = (3, 4, 5, 6, 7)
-PER_CLASS = 1500
+PER_CLASS = 800
 INNER = np.zeros(256, bool)
 INNER[128:] = True
 for _a, _b in (("0", "9"), ("A", "Z"), ("a", "z")):
@@ -87,38 +87,46 @@ def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKET
     if toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(40.0 if share else -40.0, np.zeros(buckets))
-    doc, word, share, feature, of, words_n = [], [], [], [], [], 0
+    doc, word, share, feature, of, known = [], [], [], [], [], {}
     rows = 0
-    for _, _, buf, offsets in slices(column, 1 << 24):
+    for _, _, buf, offsets in slices(column):
         row, w, first, p, start, end = _words(buf, offsets)
         if len(row):
+            before = len(known)
+            ids = np.array([known.setdefault(h, len(known)) for h in span_hash(p, start[first], end[first]).tolist()], np.int32)
             pair, n = np.unique(row * np.int64(len(first)) + w, return_counts=True)
             total = np.bincount(row, minlength=len(offsets) - 1)
             r = pair // len(first)
-            doc.append(r + rows), word.append(pair % len(first) + words_n), share.append(n / total[r])
-            b, o = _subwords(p, start[first], end[first], buckets)
-            feature.append(b), of.append(o + words_n)
-            words_n += len(first)
+            doc.append((r + rows).astype(np.int32)), word.append(ids[pair % len(first)]), share.append((n / total[r]).astype(np.float32))
+            new = ids >= before
+            b, o = _subwords(p, start[first[new]], end[first[new]], buckets)
+            o = ids[new][o]
+            order = np.argsort(o, kind="stable")  # new words have rising numbers, so all slices together are in order
+            feature.append(b[order].astype(np.int32)), of.append(o[order])
         rows += len(offsets) - 1
-    doc, word, share, feature, of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (doc, word, share, feature, of))
-    doc, word, feature, of = (x.astype(np.int64) for x in (doc, word, feature, of))
-    share = share.astype(np.float32)
-    # words stand once a slice, so a feature's count of words bounds its count of texts from above: the rare ones go
+    words_n = len(known)
+    del known
+    doc, word, feature, of = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (doc, word, feature, of))
+    share = np.concatenate([*share, np.zeros(0, np.float32)])
+    # a feature's count of texts, word by word, bounds how many texts have it: the rare ones go
     grams = np.bincount(of, minlength=words_n).astype(np.float32)
-    texts = np.bincount(word, minlength=words_n)
-    often = np.bincount(feature, texts[of], buckets)[feature] >= least
+    texts = np.bincount(word, minlength=words_n).astype(np.float32)
+    many = np.zeros(buckets, np.float32)
+    for i in range(0, len(of), 1 << 20):
+        many += np.bincount(feature[i : i + (1 << 20)], texts[of[i : i + (1 << 20)]], buckets).astype(np.float32)
+    often = (many >= least)[feature]
     feature, of = feature[often], of[often]
-    order = np.argsort(of, kind="stable")
-    feature, of = feature[order], of[order]
-    used, feature = np.unique(feature, return_inverse=True)
-    feature = feature.astype(np.int32)
-    live, of = np.unique(of, return_inverse=True)
-    place = np.full(words_n, -1)
+    there = np.zeros(buckets, bool)
+    there[feature] = True
+    used = np.flatnonzero(there)
+    feature = (np.cumsum(there) - 1).astype(np.int32)[feature]
+    live = np.flatnonzero(np.bincount(of, minlength=words_n))
+    place = np.full(words_n, -1, np.int32)
     place[live] = np.arange(len(live))
-    grams = grams[live]
+    of, grams = place[of], grams[live]
     known = place[word] >= 0
     doc, word, share = doc[known], place[word][known], share[known]
-    by_word, back = np.argsort(word, kind="stable"), np.argsort(feature, kind="stable")
+    by_word, back = (np.argsort(x, kind="stable").astype(np.int32) for x in (word, feature))
     cuts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     word_cut, feature_cut, doc_cut, share_cut = cuts(of), cuts(feature[back]), cuts(doc), cuts(word[by_word])
     seen, of_back, doc_by_word, share_by_word = doc[doc_cut], of[back], doc[by_word], share[by_word]
