@@ -17,6 +17,8 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -202,7 +204,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
     table = texts.select("id", "text", "y").toArrow().sort_by("id")
     total = sum(counts.values())
-    return fit(table.column("text").combine_chunks(), table.column("y").to_numpy() > 0, counts.get(True, 0) / total if total else 0.0)
+    model = fit(table.column("text").combine_chunks(), table.column("y").to_numpy() > 0, counts.get(True, 0) / total if total else 0.0)
+    del table
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Hand the memory that training has freed back to the system, where the C library can: the driver goes on for long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

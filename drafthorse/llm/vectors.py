@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +17,6 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool = True)
     return x.groupBy("id").agg(F.min("x").alias("x"))
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
-
-
 def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Of (row, id, score) the k best of each row, without repeats: highest score first, ties to the smaller id."""
     order = np.lexsort((ids, -scores, rows))
