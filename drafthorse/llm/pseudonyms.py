@@ -1,7 +1,7 @@
 """Pseudonyms for personal data, in DataFrame functions alone.
 
 Values are found by one pattern and, where their format has a check, validated: card numbers (Luhn), IBANs (mod 97),
-telephone numbers of the +1 plan, social security numbers, IPv4 addresses, dates from 1800 to 2199. A valid value is
+telephone numbers in the shape of the +1 plan (any area and exchange), social security numbers, IPv4 addresses, dates from 1800 to 2199. A valid value is
 permuted by a keyed Feistel network on exactly the values of its format (two halves with their own moduli, eight
 rounds of SHA-256), check digits are made anew, and separators stay where they are. So a pseudonym is valid itself,
 equal values have equal pseudonyms in every document, and the holder of the key can go back (`inverse=True`).
@@ -30,7 +30,7 @@ KINDS = {
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": rf"(?<=[=:\" ])(?<=[=:\"]|[=:] )(?<={_NAMED})[A-Za-z0-9+/_.-]{{8,128}}",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "phone": r"(?<!\+)(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])",
+    "phone": r"(?<!\+)(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<!-)(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "date": rf"(?<![./-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR})(?![0-9/-]|\.[0-9])",
@@ -153,8 +153,8 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     def run(d: Column) -> Column:
         ten = F.right(d, F.lit(10))
-        s = feistel(_part(ten, 1, 3).cast("long") - 200, _part(ten, 4, 7).cast("long") - 2_000_000, 800, 8_000_000, key, "phone", inverse)
-        new = let(s, lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")))
+        s = feistel(_part(ten, 1, 3).cast("long"), _part(ten, 4, 7).cast("long"), 1000, 10_000_000, key, "phone", inverse)
+        new = let(s, lambda p: F.concat(F.lpad(p["a"].cast("string"), 3, "0"), F.lpad(p["b"].cast("string"), 7, "0")))
         return fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
 
     return let(_only(m, "0-9"), run)
@@ -211,7 +211,7 @@ def _replace(m: Column, before: Column, key: str, inverse: bool) -> Column:
 SHAPES = {
     "access_key": "AKIA[A-Z0-9]{16}",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}",
-    "phone": r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}",
+    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
     "date": rf"{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR}",
     "card": "[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}",

@@ -221,6 +221,17 @@ def test_secrets(spark):
     assert re.fullmatch(r'password=\w{12} token = "\w{16}" AKIA[0-9A-F]{16} password=\w{13}', r["text"])
 
 
+def test_phones_of_any_area_and_with_spaces(spark):
+    text = "+1 (017) 555-7713, +1 (132) 555-1352, (212) 555 0100, 212 555 0100, +1 212 555 0100, 017.155.0100"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pseudonymize(df, "key").collect()[0]
+    assert r["n_values"] == 6 and re.sub("[0-9]", "0", r["text"].replace("+1", "+0")) == re.sub("[0-9]", "0", text)
+    old, new = ([re.sub(r"\D", "", p.replace("+1", "")) for p in t.split(", ")] for t in (text, r["text"]))
+    assert all(a != b for a, b in zip(old, new, strict=True)) and len({*new[2:5]}) == 1
+    back = pseudonymize(pseudonymize(df, "key").select("doc_id", "text"), "key", inverse=True).collect()[0]
+    assert back["text"] == text
+
+
 # toxicity
 
 
