@@ -6,7 +6,8 @@ permuted by a keyed Feistel network on exactly the values of its format (two hal
 rounds of SHA-256), check digits are made anew, and separators stay where they are. So a pseudonym is valid itself,
 equal values have equal pseudonyms in every document, and the holder of the key can go back (`inverse=True`).
 Mail addresses and secrets have no such domain: they are replaced by keyed digests in their format, equal for equal
-values as well. Anything else in a text, numbers that fail their check included, is left as it is.
+values as well. Anything else in a text, numbers that fail their check included, is left as it is. Names of secrets are matched in any case. An IBAN ends where
+its country's length says, for other countries where mod 97 comes out at 1.
 
 Nothing is shuffled: a text is split at its matches, and joined again.
 
@@ -23,13 +24,29 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:1[89]|20|21)[0-9]{2}"
-_NAMED = '(?:password|passwd|secret|token|api_key|apikey)(?: = "| = |: |="|=|:)'
+_NAMED = '(?i:password|passwd|secret|token|api_key|apikey)(?: = "| = |: |="|=|:)'
+#: Lengths of IBANs by country; a country that is not here has its end found by mod 97.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    last = f" [A-Z0-9]{{{rest}}}" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|(?: [A-Z0-9]{{4}}){{{groups}}}{last})(?![A-Za-z0-9])"
+
+
+_IBAN_LISTED = "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items())
 #: What each kind looks like, in order of preference where two begin at one place.
 KINDS = {
     "mail": r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": rf"(?<=[=:\" ])(?<=[=:\"]|[=:] )(?<={_NAMED})[A-Za-z0-9+/_.-]{{8,128}}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_LISTED}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![A-Za-z0-9]))",
     "phone": r"(?<!\+)(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<!-)(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
@@ -134,6 +151,22 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _iban(m: Column, key: str, inverse: bool) -> Column:
+    """Of the groups of m as many as make mod 97 come out at 1, the most first; what follows them stays."""
+
+    def valid(s: Column) -> Column:
+        return _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), _part(s, 1, 4))) == 1
+
+    def run(groups: Column) -> Column:
+        first = lambda k: F.slice(groups, F.lit(1), k)
+        n = F.size(groups)
+        ends = F.filter(F.sequence(n, F.least(n, F.lit(3)), F.lit(-1)), lambda k: valid(F.array_join(first(k), "")))
+        head = F.array_join(first(F.coalesce(F.get(ends, F.lit(0)), n)), " ")
+        return let(head, lambda h: F.concat(_iban_whole(h, key, inverse), F.substring(m, F.length(h) + 1, F.length(m))))
+
+    return let(F.split(m, " "), run)
+
+
+def _iban_whole(m: Column, key: str, inverse: bool) -> Column:
     def run(s: Column) -> Column:
         country, rest = _part(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
 
