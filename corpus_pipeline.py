@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drafthorse.llm.mixing import mix_sources
@@ -49,8 +50,23 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.orderBy("position").select(*COLUMNS)
 
 
+def written_order(docs: DataFrame) -> DataFrame:
+    """docs with `position`: its row's number, in the order in which the rows were written, whatever order Spark reads in."""
+    file, row = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    try:
+        placed = docs.select("doc_id", "text", file, row)
+    except AnalysisException:  # not from files: written as it stands
+        placed = materialize(docs).select("doc_id", "text", file, row)
+    files = materialize(placed.groupBy("file").agg((F.max("row") + 1).alias("rows")))
+    part = F.regexp_extract("file", "part-([0-9]+)", 1).try_cast("long")
+    before = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    return placed.join(F.broadcast(starts), "file").select("doc_id", "text", (F.col("first") + F.col("row")).alias("position"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """Sequences follow the order in which the mixing stage has written its rows."""
+    return pack(written_order(docs), position_col="position")
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]

@@ -12,6 +12,9 @@ special token's string goes through `tokenizers` itself.
 
 Defined cases. Null text is empty; an empty document is its end id alone. Repeated rows are documents of their own.
 Null ids are ids like any other. Other columns are not read. An empty table gives an empty result.
+
+With a column of positions, pieces of one length are taken in its order, and sequences are numbered in the order of
+their leading (longest) pieces, so a mixed order reaches the sequences.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.numbering import number_within
+from ..operators.numbering import number_along, number_within
 from ..session import materialize
 
 WINDOW = 2048
@@ -57,19 +60,19 @@ def tokenizer_files(names: tuple[str, str] = ("byte_bpe_50k.json", "byte_bpe_50k
 
 
 def _pieces(files: tuple[str, str] | None, window: int, end_id: int):
-    """Rows (id, text) to a row for each piece; files None: the installed ones, found on the executor."""
-    types = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+    """Rows (id, text, place) to a row for each piece; files None: the installed ones, found on the executor."""
+    types = pa.schema([(c, pa.int64()) for c in ("id", "start", "length", "ids_crc32", "doc_tokens", "place")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(*(files or tokenizer_files()))
         for b in batches:
             rows = []
-            for i, text in zip(b.column(0), b.column(1), strict=True):
-                text = text.as_py()
+            for i, text, place in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                text, place = text.as_py(), place.as_py()
                 ids = np.array([*(encode(text) if text else ()), end_id], "<u4")
                 i = i.as_py()
-                rows += [(i, s, min(window, len(ids) - s), zlib.crc32(ids[s : s + window].tobytes()), len(ids)) for s in range(0, len(ids), window)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                rows += [(i, s, min(window, len(ids) - s), zlib.crc32(ids[s : s + window].tobytes()), len(ids), place) for s in range(0, len(ids), window)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
     return run
@@ -139,25 +142,33 @@ def best_fit_plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[in
     return plan
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     files: the tokenizer's JSON and rank files, at paths that every executor can open; by default those installed
-    with the `public_tokenizers` package.
+    with the `public_tokenizers` package. position_col: whole numbers from 0, not null, that the sequences follow.
     """
     spark = docs.sparkSession
-    x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pieces = materialize(x.mapInArrow(_pieces(files, window, end_id), "id long, start long, length long, ids_crc32 long, doc_tokens long"))
+    x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(position_col).cast("long").alias("place") if position_col else F.lit(None).cast("long").alias("place"))
+    pieces = materialize(x.mapInArrow(_pieces(files, window, end_id), "id long, start long, length long, ids_crc32 long, doc_tokens long, place long"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = best_fit_plan(counts, window)
     entries = spark.createDataFrame(plan, "length long, rank0 long, n long, window0 long, each long, offset0 long")
-    ranked = number_within(pieces, ["length"], ["id", "start", "ids_crc32"], "rank")
+    key = ["id", "start", "ids_crc32"]
+    ranked = number_along(pieces, ["length"], "place", key, "rank") if position_col else number_within(pieces, ["length"], key, "rank")
     # the plan has a few entries a length, at most about 4 * window in all, whatever the input
     near = (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("n"))
     placed = ranked.join(F.broadcast(entries), "length").filter(near)
     i = F.col("rank") - F.col("rank0")
-    return placed.select(
+    out = placed.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens",
         (F.col("window0") + F.floor(i / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("offset0") + i % F.col("each") * F.col("length")).cast("long").alias("offset"),
+        (F.col("offset0") + i % F.col("each") * F.col("length")).cast("long").alias("offset"), *(["place"] if position_col else []),
     )
+    if not position_col:
+        return out
+    out = materialize(out)
+    leading = materialize(out.filter("offset = 0").select("sequence_id", "place", "start", F.lit(0).alias("all")))
+    numbered = number_along(leading, ["all"], "place", ["start", "sequence_id"], "new_id").select("sequence_id", "new_id")
+    out = out.join(numbered, "sequence_id")
+    return out.select(id_col, "start", "length", "ids_crc32", "doc_tokens", F.col("new_id").alias("sequence_id"), "offset")

@@ -34,6 +34,21 @@ def test_repeated_and_null_rows_stay_whole(spark):
     assert P.personal_data(spark, docs, SF).count() == 5
 
 
+def test_sequences_follow_the_mixed_order(spark):
+    """Nine parts of a to one of b weigh 3 to 1, until b runs out; without the stage 9 to 1, or a before b."""
+    docs = spark.createDataFrame([(i, f"{i} word " * 1000, "en", "a" if i < 1800 else "b", 1) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    source = {i: "a" if i < 1800 else "b" for i in range(2000)}
+
+    def early(rows):
+        got = sorted((r["sequence_id"], r["offset"], r["length"], source[r["doc_id"]]) for r in P.packing(spark, materialize(rows), SF).collect())
+        assert sorted({g[0] for g in got}) == list(range(got[-1][0] + 1))
+        first = [g for g in got if g[0] < got[-1][0] / 5]
+        return sum(g[2] for g in first if g[3] == "b") / sum(g[2] for g in first)
+
+    assert 0.2 < early(P.mixing(spark, docs, SF)) < 0.3
+    assert early(docs) < 0.05
+
+
 def test_held_out_rule(spark):
     got = Q.op9_toxicity(spark, SF).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
