@@ -2,9 +2,9 @@
 
 Each source's documents are cut into blocks. With weight w, block i of a source (from 0) is released at slot
 floor(i / w) and due at ceil((i + 1) / w); of the released blocks the earliest deadline runs, so that after any
-number of slots each source has had its share to within less than one block. Weights are whole parts of `period`
-slots, so the schedule repeats: one period of at most `period` slots is drawn up (its size does not grow with the
-input), and block i of a source with c blocks a period runs in slot (i div c) * period + its slot for i mod c.
+number of slots each source has had its share to within less than one block, as long as no source has run out. Slots
+come from the exact rational weights, so no drift adds up. The schedule is drawn up on the driver from the sources'
+numbers of blocks (one step a block, 16 a MB of text) and handed on in slices.
 
 A source that has run out leaves its slots empty; they close up, and the others go on in their proportion. Nothing
 is dropped or repeated: what a source has beyond the others comes last.
@@ -14,15 +14,20 @@ its running size passes a block's border, so no source is sorted in one task.
 
 Defined cases. Null source is a source of its own (as ''). Null text has size 0. Null ids and repeated rows are rows
 like any other. Sources without a given weight, or all of them by default, take weights in proportion to the square
-root of their bytes; a weight under one slot of the period counts as one slot. An empty table gives an empty result.
+root of their bytes. Sources of weight 0 come after all others, in equal shares. The number of sources is bounded only
+by the driver's memory. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_within
@@ -31,6 +36,8 @@ from ..session import materialize
 PERIOD = 1024
 BLOCK_BYTES = 1 << 16
 CHUNK_BLOCKS = 64
+#: Slots handed to Spark at a time.
+SLICE = 1 << 18
 
 
 def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -79,16 +86,60 @@ def pfair_period(parts: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def pfair(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, index of its block) for each slot until every source has run out, from the exact weights.
+
+    Earliest deadline first among the released, ties by name. Empty slots are skipped.
+    """
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if min(exact.values()) < 0 or not sum(exact.values()) > 0:
+        raise ValueError("weights must not be negative, and one must be positive")
+    scale = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    total = sum(whole.values())
+    waiting = [(0, s, 0) for s, w in whole.items() if w and blocks[s]]
+    heapify(waiting)
+    ready: list[tuple[int, str, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heappop(waiting)
+            heappush(ready, (-(-(i + 1) * total // whole[s]), s, i))
+        due, s, i = heappop(ready)
+        if due <= slot:
+            raise AssertionError("a deadline was missed")
+        yield s, i
+        slot += 1
+        if i + 1 < blocks[s]:
+            heappush(waiting, ((i + 1) * total // whole[s], s, i + 1))
+    rest = {s: 1 for s, w in whole.items() if not w and blocks[s]}
+    if rest:
+        yield from pfair(rest, blocks)
+
+
+def _schedule(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """(src, block, slot) of the whole schedule."""
+    slots, out, first = pfair(weights, blocks), None, 0
+    while part := list(islice(slots, SLICE)):
+        sources, turns = zip(*part, strict=True)
+        table = pa.table({"src": pa.array(sources, pa.string()), "block": pa.array(turns, pa.int64()), "slot": pa.array(range(first, first + len(part)), pa.int64())})
+        one = materialize(spark.createDataFrame(table))
+        out, first = one if out is None else out.unionByName(one), first + len(part)
+    return out
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, source_col, block, slot, position): the mixed order of all rows.
 
     block counts from 0 in its source, slot is its place in the schedule, position numbers the rows in the order of
-    (slot, place in the block) without gaps.
+    (slot, place in the block) without gaps. period: slots whose rows are numbered together; it does not change the order.
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(source_col).alias("named"), size.alias("size"), F.xxhash64(F.lit("mix"), id_col, text_col).alias("h"))
     rows = materialize(rows)
-    sizes = {r["src"]: r["w"] for r in rows.groupBy("src").agg(F.sum("size").alias("w")).limit(period + 1).collect()}
+    sizes = {r["src"]: r["w"] for r in rows.groupBy("src").agg(F.sum("size").alias("w")).collect()}
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], f"{id_col} long, {source_col} string, block long, slot long, position long")
@@ -96,22 +147,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period
     free = {s: max(1, w) ** 0.5 for s, w in sizes.items() if s not in named}
     if named and free:
         raise ValueError(f"no weight for {sorted(free)[:5]}")
-    parts = whole_parts({s: named[s] for s in sizes} if named else free, period)
-    table = spark.createDataFrame([(s, i, k, parts[s]) for k, (s, i) in enumerate(pfair_period(parts))], "src string, turn long, at long, parts long")
+    share = {s: named[s] for s in sizes} if named else free
     chunks = spark.createDataFrame([(s, max(1, -(-w // (block_bytes * CHUNK_BLOCKS)))) for s, w in sizes.items()], "src string, chunks long")
 
     dealt = rows.join(F.broadcast(chunks), "src").withColumn("chunk", F.pmod("h", "chunks"))
     order = Window.partitionBy("src", "chunk").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("own", F.floor(F.coalesce(F.sum("size").over(order), F.lit(0)) / block_bytes).cast("long"))
     dealt = materialize(dealt.select("id", "named", "src", "h", "chunk", "own"))
-    blocks = number_within(dealt.groupBy("src", "chunk", "own").agg(F.count(F.lit(1)).alias("n")), ["src"], ["chunk", "own"], "block")
-    slot = (F.floor(F.col("block") / F.col("parts")) * period + F.col("at")).cast("long")
-    blocks = (
-        blocks.join(F.broadcast(chunks.select("src").join(table.select("src", "parts").distinct(), "src")), "src")
-        .withColumn("turn", F.pmod("block", "parts")).join(F.broadcast(table.drop("parts")), ["src", "turn"])
-        .select("src", "chunk", "own", "n", "block", slot.alias("slot"))
-    )
-    blocks = materialize(blocks)
+    blocks = materialize(number_within(dealt.groupBy("src", "chunk", "own").agg(F.count(F.lit(1)).alias("n")), ["src"], ["chunk", "own"], "block"))
+    counts = {r["src"]: r["k"] for r in blocks.groupBy("src").agg(F.count(F.lit(1)).alias("k")).collect()}
+    blocks = materialize(blocks.join(_schedule(spark, share, counts), ["src", "block"]).select("src", "chunk", "own", "n", "block", "slot"))
     # rows before a slot: summed by spans of slots first, so no window holds all blocks
     span = F.floor(F.col("slot") / period)
     spans = blocks.groupBy(span.alias("span")).agg(F.sum("n").alias("n"))

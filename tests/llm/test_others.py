@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from drafthorse.llm import packing, toxicity, urlrules
 from drafthorse.llm.kdshard import kd_shards
-from drafthorse.llm.mixing import mix_sources, pfair_period, whole_parts
+from drafthorse.llm.mixing import mix_sources, pfair, pfair_period, whole_parts
 from drafthorse.llm.pseudonyms import feistel, pseudonymize
 
 
@@ -29,6 +30,32 @@ def test_pfair_deviation(weights):
             assert abs(done[t] - slot * c / 128) < 1
 
 
+@pytest.mark.parametrize("weights", [{f"s{i}": (i + 1) ** 0.5 for i in range(20)}, {"x": 0.333, "y": 0.6, "z": 0.067}, {"a": 1.0, "b": 1e-5}])
+def test_deviation_from_the_given_weights_over_many_periods(weights):
+    total = sum(map(Fraction, weights.values()))
+    done, n = Counter(), 12 * 1024
+    for slot, (s, i) in enumerate(pfair(weights, dict.fromkeys(weights, n)), 1):
+        assert i == done[s]
+        done[s] += 1
+        if slot % 97 == 0 or slot == n:
+            assert all(abs(done[t] - slot * Fraction(w) / total) < 1 for t, w in weights.items())
+        if slot == n:
+            break
+
+
+def test_weight_zero_comes_last_and_all_blocks_come_once():
+    blocks = {"a": 7, "b": 40, "none": 5, "void": 3}
+    got = list(pfair({"a": 1, "b": 2, "none": 0, "void": 0}, blocks))
+    assert Counter(got) == Counter((s, i) for s, n in blocks.items() for i in range(n))
+    assert {s for s, _ in got[:47]} == {"a", "b"}
+
+
+def test_more_sources_than_a_period_has_slots(spark):
+    df = spark.createDataFrame([(i, "text", f"s{i % 1500}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mix_sources(df)
+    assert sorted(r["position"] for r in got.select("position").collect()) == list(range(3000))
+
+
 def test_mixing_keeps_all_rows(spark):
     rng = random.Random(1)
     rows = [(i % 250 if i < 300 else None, "t" * rng.randint(0, 400), rng.choice(["hot", "hot", "hot", "b", None, "c"]), 1) for i in range(310)]
