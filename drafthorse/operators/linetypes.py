@@ -181,3 +181,12 @@ def simplify(points: np.ndarray, tolerance: float) -> list[int]:
             keep.add(a + 1 + i)
             stack += [(a, a + 1 + i), (a + 1 + i, b)]
     return sorted(keep)
+
+
+def contour_signatures(points: DataFrame, by: str = "op_index") -> DataFrame:
+    """(by, sig): the least of the rotations of a closed contour (by, k, x, y) and of its reverse, over all points and both coordinates."""
+    cell = lambda c: F.floor(F.col(c) * 4).cast("int").cast("string")
+    s = points.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", cell("x"), cell("y")).alias("t")))).alias("s"))
+    s = s.select(by, F.transform("s", lambda p: p["t"]).alias("t"))
+    turns = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda o: F.array_join(F.concat(F.slice(t, o + 1, F.size(t)), F.slice(t, F.lit(1), o)), ","))
+    return s.select(by, F.array_min(F.concat(turns(F.col("t")), turns(F.reverse("t")))).alias("sig"))

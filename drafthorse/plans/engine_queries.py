@@ -141,6 +141,12 @@ def r20(v):
     return s.select("op_index", F.array_min(turns).alias("sig"))
 
 
+@query("r20_whole_contour")
+def r20_whole(v):
+    """All points with both coordinates, drawn either way; r20_contour_signature and its SQL read the first eight x alone."""
+    return linetypes.contour_signatures(v.ops)
+
+
 @query("r50_slot_overlap", """
 with a as (select c_nationkey as n, c_mktsegment as s from customer group by 1, 2), z as (select n, count(*) as k from a group by n), i as (select x.n as a, y.n as b, count(*) as both_ from a x join a y on x.s = y.s and x.n < y.n group by 1, 2)
 select i.a, i.b, round(both_ / cast(p.k + q.k - both_ as double), 6) as jaccard from i join z p on i.a = p.n join z q on i.b = q.n""")

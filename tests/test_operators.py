@@ -166,3 +166,14 @@ def test_matching():
     assert matching.families(v, 0.5).set_index("key")["family"].to_dict() == {1: 0, 2: 0}
     d = matching.discover(pd.DataFrame({"atom": [1, 2, 3, 4, 5], "motifs": [[1], [1, 2], [1, 2], [2], [2]]}), 2)
     assert d.set_index("atom")["motif"].to_dict() == {2: 2, 3: 2, 4: 2, 5: 2}
+
+
+def test_contour_signature_reads_all_points_either_way(spark):
+    rng = random.Random(20)
+    base = [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(32)]
+    late = base[:20] + [(base[20][0] + 0.5, base[20][1])] + base[21:]
+    other_y = base[:3] + [(base[3][0], base[3][1] + 0.5)] + base[4:]
+    shapes = [base, base[5:] + base[:5], base[::-1], base[::-1][9:] + base[::-1][:9], late, other_y]
+    df = spark.createDataFrame([(i, k, x, y) for i, c in enumerate(shapes) for k, (x, y) in enumerate(c)], "op_index long, k int, x double, y double")
+    got = {r["op_index"]: r["sig"] for r in linetypes.contour_signatures(df).collect()}
+    assert len({got[i] for i in range(4)}) == 1 and len(set(got.values())) == 3
