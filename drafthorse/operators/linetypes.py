@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import point_segment_squared
+from ..session import materialize
 from .graph import connected_components
 
 
@@ -190,3 +191,14 @@ def contour_signatures(points: DataFrame, by: str = "op_index") -> DataFrame:
     s = s.select(by, F.transform("s", lambda p: p["t"]).alias("t"))
     turns = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda o: F.array_join(F.concat(F.slice(t, o + 1, F.size(t)), F.slice(t, F.lit(1), o)), ","))
     return s.select(by, F.array_min(F.concat(turns(F.col("t")), turns(F.reverse("t")))).alias("sig"))
+
+
+def endpoint_walk(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, at, depth): places reached over steps (a, b) from starts (start) in at most `depth` steps, each at its least."""
+    front = starts.select("start", F.col("start").alias("at")).distinct()
+    seen = materialize(front.withColumn("depth", F.lit(0)))
+    for turn in range(1, depth + 1):
+        front = front.join(steps, front["at"] == steps["a"]).select("start", F.col("b").alias("at")).distinct()
+        front = materialize(front.join(seen.select("start", "at"), ["start", "at"], "left_anti"))
+        seen = seen.unionByName(front.withColumn("depth", F.lit(turn)))
+    return seen

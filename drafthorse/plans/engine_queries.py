@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import linetypes
+from ..session import materialize
 from .registry import query
 
 
@@ -119,6 +120,13 @@ def j17(v):
     return seen
 
 
+@query("j17_whole_walk")
+def j17_whole(v):
+    """Seven steps from every start over all rows; j17_endpoint_walk and its SQL take a part of them."""
+    e = materialize(v.table("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")).distinct())
+    return linetypes.endpoint_walk(e, e.select(F.col("a").alias("start")), 7)
+
+
 @query("r14_closest_alignment", """
 with f as (select op_index, grp, arg_min(x, k) as ax, arg_min(y, k) as ay, arg_max(x, k) as bx, arg_max(y, k) as by_ from ops group by 1, 2)
 select p.op_index, q.op_index as other, round((p.bx - q.ax) * (p.bx - q.ax) + (p.by_ - q.ay) * (p.by_ - q.ay), 9) as d2 from f p join f q on p.grp = q.grp and q.op_index = p.op_index + 10""", ("ops",))

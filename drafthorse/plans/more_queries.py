@@ -39,7 +39,7 @@ def w15(v):
 
 @query("w18_discovery")
 def w18(v):
-    a = v.table("lineitem").filter("l_quantity >= 45").groupBy((F.col("l_orderkey") % 20).alias("grp"), F.col("l_partkey").alias("atom")).agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 10)).alias("motifs"))
+    a = v.table("lineitem").groupBy((F.col("l_orderkey") % 20).alias("grp"), F.col("l_partkey").alias("atom")).agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 10)).alias("motifs"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return matching.discover(g[["atom", "motifs"]], 3).assign(grp=g["grp"].iloc[0])[["grp", "atom", "motif", "turn"]]

@@ -344,6 +344,24 @@ def w12b(v):
     return linetypes.runs(t, s)
 
 
+@query("w12_all_connected_runs")
+def w12_all(v):
+    """Over all rows; w12_connected_runs and its recursive SQL take a part of them."""
+    from ..operators.graph import connected_components
+
+    e = v.table("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
+    return connected_components(e, "a", "b").select(F.col("node").alias("op_index"), F.col("component").alias("least"))
+
+
+@query("w12_all_run_numbers")
+def w12b_all(v):
+    """Over all parts; w12_run_numbers and its recursive SQL take a part of them."""
+    s = v.table("part").select(F.col("p_partkey").alias("op_index"), F.col("p_size").alias("page"))
+    w = Window.partitionBy("page").orderBy("op_index")
+    t = s.select(F.col("op_index").alias("b"), F.lag("op_index").over(w).alias("a")).filter("b - a <= 40")
+    return linetypes.runs(t, s)
+
+
 @query("w19_stable_order", "select page, idx, cast(row_number() over (partition by page order by y0, x0, idx) as int) as place from items", ("items",))
 def w19(v):
     return v.items.select("page", "idx", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "idx")).alias("place"))

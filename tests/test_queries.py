@@ -55,3 +55,47 @@ def test_nothing_outside_imports_the_optional_part():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_walks_runs_and_discovery_over_all_rows(spark):
+    from collections import defaultdict
+
+    import pandas as pd
+
+    from drafthorse.operators import matching
+
+    read = lambda t: pd.read_parquet(f"{SF}/{t}.parquet")
+    items, parts = read("lineitem"), read("part")
+    # seven steps from every start
+    to = defaultdict(set)
+    for a, b in zip(items["l_suppkey"], items["l_partkey"] % 100 + 1, strict=True):
+        to[a].add(b)
+    want = set()
+    for start in to:
+        at, depth = {start: 0}, 0
+        front = {start}
+        while front and depth < 7:
+            depth += 1
+            front = {b for a in front for b in to.get(a, ())} - at.keys()
+            at.update(dict.fromkeys(front, depth))
+        want |= {(start, p, d) for p, d in at.items()}
+    got = [(r["start"], r["at"], r["depth"]) for r in catalog.QUERIES["j17_whole_walk"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    # components of suppliers and parts
+    least = {}
+    find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
+    for a, b in zip(items["l_suppkey"], items["l_partkey"] + 1000000, strict=True):
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    got = {r["op_index"]: r["least"] for r in catalog.QUERIES["w12_all_connected_runs"](spark, SF).collect()}
+    assert got == {x: find(x) for x in least}
+    # runs of all parts
+    runs = catalog.QUERIES["w12_all_run_numbers"](spark, SF).collect()
+    assert sorted(r["op_index"] for r in runs) == sorted(parts["p_partkey"])
+    # discovery
+    atoms = items.assign(grp=items["l_orderkey"] % 20, m=items["l_suppkey"] % 10).groupby(["grp", "l_partkey"])["m"].agg(lambda m: sorted(set(m))).reset_index()
+    want = set()
+    for g, rows in atoms.groupby("grp"):
+        found = matching.discover(pd.DataFrame({"atom": rows["l_partkey"], "motifs": rows["m"]}), 3)
+        want |= {(g, *r) for r in found[["atom", "motif", "turn"]].itertuples(index=False)}
+    assert {(r["grp"], r["atom"], r["motif"], r["turn"]) for r in catalog.QUERIES["w18_discovery"](spark, SF).collect()} == want
