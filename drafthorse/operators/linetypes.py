@@ -202,3 +202,37 @@ def endpoint_walk(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         front = materialize(front.join(seen.select("start", "at"), ["start", "at"], "left_anti"))
         seen = seen.unionByName(front.withColumn("depth", F.lit(turn)))
     return seen
+
+
+def motif_clusters(prints: DataFrame, least: int = 3, ratio: float = 1.3, aspect: float = 0.2) -> DataFrame:
+    """(first, support): components of at least `least` operations whose fingerprints (op_index, scale, aspect) match pairwise in chains.
+
+    Two match if their scales differ by the factor `ratio` at most and their aspects by `aspect` at most. Cells have
+    these sides, so all of a cell match and it is one node; neighbouring cells are linked if any pair across them
+    matches, which along an edge their extremes tell and across a corner the pairs of their undominated points.
+    Fingerprints without a finite scale and aspect match nothing.
+    """
+    x = prints.select("op_index", (F.log("scale") / F.log(F.lit(ratio))).alias("u"), (F.col("aspect") / aspect).alias("v"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15)
+    x = materialize(x.filter(finite("u") & finite("v")).withColumn("i", F.floor("u").cast("long")).withColumn("j", F.floor("v").cast("long")))
+    cells = materialize(x.groupBy("i", "j").agg(F.min("op_index").alias("rep"), F.count(F.lit(1)).alias("n"), *(f(c).alias(n + c) for c in "uv" for n, f in (("least_", F.min), ("most_", F.max)))))
+
+    def beside(di: int, dj: int, c: str) -> DataFrame:
+        other = cells.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("rep").alias("b"), F.col(f"least_{c}").alias("from_"))
+        return cells.join(other, ["i", "j"]).filter(F.col("from_") - F.col(f"most_{c}") <= 1).select(F.col("rep").alias("a"), "b")
+
+    def front(su: int, sv: int) -> DataFrame:
+        w = Window.partitionBy("i", "j").orderBy((su * F.col("u")).desc(), (sv * F.col("v")).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        y = x.withColumn("best", F.max(sv * F.col("v")).over(w))
+        return y.filter(F.col("best").isNull() | (sv * F.col("v") > F.col("best"))).select("i", "j", "u", "v")
+
+    def corner(dj: int) -> DataFrame:
+        other = front(-1, -dj).select((F.col("i") - 1).alias("i"), (F.col("j") - dj).alias("j"), F.col("u").alias("p"), F.col("v").alias("q"))
+        hit = front(1, dj).join(other, ["i", "j"]).filter((F.col("p") - F.col("u") <= 1) & (F.abs(F.col("q") - F.col("v")) <= 1)).select("i", "j").distinct()
+        b = cells.select((F.col("i") - 1).alias("i"), (F.col("j") - dj).alias("j"), F.col("rep").alias("b"))
+        return hit.join(cells.select("i", "j", F.col("rep").alias("a")), ["i", "j"]).join(b, ["i", "j"]).select("a", "b")
+
+    links = beside(1, 0, "u").unionByName(beside(0, 1, "v")).unionByName(corner(1)).unionByName(corner(-1))
+    found = connected_components(links, "a", "b")
+    whole = cells.join(found, cells["rep"] == found["node"], "left").groupBy(F.coalesce("component", "rep").alias("first"))
+    return whole.agg(F.sum("n").alias("support")).filter(F.col("support") >= least)

@@ -83,6 +83,13 @@ def w13(v):
     return b.groupBy("band", "aspect").agg(F.count(F.lit(1)).alias("support"), F.min("op_index").alias("first")).filter("support >= 3")
 
 
+@query("w13_matching_motifs")
+def w13_matching(v):
+    """Union-find over matching fingerprints; w13_motif_clusters and its SQL count cells."""
+    f = v.ops.groupBy("op_index").agg(F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("scale"), ((F.max("x") - F.min("x")) / F.nullif(F.max("y") - F.min("y"), F.lit(0.0))).alias("aspect"))
+    return linetypes.motif_clusters(f)
+
+
 @query("j19_own_geometry", """
 with p as (select grp, op_index, k, x, y from ops), o as (select grp, op_index as own, k as ok, x as ox, y as oy from ops where op_index % 10 = 0),
 h as (select p.grp, p.op_index, p.k, max(case when (p.x - o.ox) * (p.x - o.ox) + (p.y - o.oy) * (p.y - o.oy) <= 0.01 then 1 else 0 end) as hit from p join o on p.grp = o.grp and p.op_index <> o.own group by 1, 2, 3)

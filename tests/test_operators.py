@@ -177,3 +177,22 @@ def test_contour_signature_reads_all_points_either_way(spark):
     df = spark.createDataFrame([(i, k, x, y) for i, c in enumerate(shapes) for k, (x, y) in enumerate(c)], "op_index long, k int, x double, y double")
     got = {r["op_index"]: r["sig"] for r in linetypes.contour_signatures(df).collect()}
     assert len({got[i] for i in range(4)}) == 1 and len(set(got.values())) == 3
+
+
+def test_motif_clusters_against_all_pairs(spark):
+    rng = random.Random(13)
+    rows = [(i, 1.3 ** rng.uniform(-6, 6), rng.uniform(0, 2.4)) for i in range(110)]
+    rows += [(500, 1.3**20 * 0.999, 9.0), (501, 1.3**20 * 1.001, 9.01), (502, 1.3**20 * 1.001, 8.99), (503, None, 1.0)]
+    root = {r[0]: r[0] for r in rows}
+    find = lambda a: a if root[a] == a else find(root[a])
+    for a in rows[:-1]:
+        for b in rows[:-1]:
+            if abs(np.log(a[1] / b[1])) <= np.log(1.3) and abs(a[2] - b[2]) <= 0.2:
+                p, q = sorted((find(a[0]), find(b[0])))
+                root[q] = p
+    want = {}
+    for r in rows:
+        want[find(r[0])] = want.get(find(r[0]), 0) + 1
+    df = spark.createDataFrame(rows, "op_index long, scale double, aspect double")
+    got = [(r["first"], r["support"]) for r in linetypes.motif_clusters(df).collect()]
+    assert sorted(got) == sorted((k, n) for k, n in want.items() if n >= 3) and (500, 3) in got and len(got) > 3
