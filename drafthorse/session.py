@@ -1,11 +1,13 @@
-"""Session helpers: settings, table access, and tables written to the folder that all machines share."""
+"""Session helpers: settings, table access, the package on the executors, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +32,39 @@ def local_session(cores: int | str = 8, **settings: str) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once an application: the driver may have it on its own path alone."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    own = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="drafthorse-code-")  # the driver's own: Spark serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "drafthorse_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(own):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    file = os.path.join(top, n)
+                    z.write(file, os.path.relpath(file, os.path.dirname(own)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (one machine, tests) a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="drafthorse-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -45,12 +72,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) on the JVM side."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+_claimed: set[str] = set()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and the copy outlives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, and the copy outlives lost executors.
+
+    An application's tables stand in one folder, which goes when the driver ends; discard() deletes one before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/drafthorse/{uuid.uuid4().hex}"
+    ship(spark)
+    folder = f"{shared_dir(spark)}/drafthorse/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if folder not in _claimed:
+        fs, at = _files(spark, folder)
+        fs.deleteOnExit(at)
+        _claimed.add(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._drafthorse_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for t in tables:
+        fs, at = _files(t.sparkSession, t._drafthorse_path)
+        fs.delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
