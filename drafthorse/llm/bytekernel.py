@@ -39,13 +39,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(buf: np.ndarray, table: np.ndarray = TABLE, base: int = 0) -> np.ndarray:
-    """Sums of table[byte] * base**position, so that the hash of any span takes one subtraction."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(table[buf] * powers(base, len(buf))[: len(buf)], out=out[1:])
+def sums(values: np.ndarray, base: int = 0) -> np.ndarray:
+    """Sums of value * base**position, so that the hash of any span takes one subtraction."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values))[: len(values)], out=out[1:])
     return out
 
 
+def prefix(buf: np.ndarray, table: np.ndarray = TABLE, base: int = 0) -> np.ndarray:
+    """sums() of the bytes' random words."""
+    return sums(table[buf], base)
+
+
 def span_hash(p: np.ndarray, i: np.ndarray, j: np.ndarray, base: int = 0, salt: np.ndarray | int = 0) -> np.ndarray:
     """Hash of the bytes i..j (exclusive), whatever their place; salt and length go in as well."""
     x = (p[j] - p[i]) * powers(base, len(p), inverse=True)[i]

@@ -23,9 +23,46 @@ DEMO_KEY = "drafthorse demonstration key"
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    out = remove_repeats(docs, length=400, keep=lambda kept: [F.sha2(kept, 256).alias("kept_sha256")])
+    out = remove_repeats(docs, length=400, keep=lambda kept: [F.sha2(kept, 256).alias("kept_sha256")], words=51)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "shares_passage")
+
+
+OP1_SQL = r"""
+with d as (
+  select row_number() over () as rn, doc_id, coalesce(text, '') as t, encode(coalesce(text, '')) as b, hex(encode(coalesce(text, ''))) as hx,
+         octet_length(encode(coalesce(text, ''))) as n from documents
+), blocks as (
+  select rn, n, k, substr(hx, 400 * k + 1, 1198) as part from (select rn, n, hx, unnest(range(0, (n + 199) // 200)) as k from d where n >= 400)
+), windows as (
+  select rn, 200 * k + i as pos, md5(substr(part, 2 * i + 1, 800)) as h
+  from (select rn, n, k, part, unnest(range(0, 200)) as i from blocks) where 200 * k + i + 400 <= n
+), hits as (
+  select rn, pos from (select rn, pos, count(*) over (partition by h) as c from windows) where c > 1
+), marked as (
+  select rn, pos, case when pos > 400 + lag(pos) over (partition by rn order by pos) then 1 else 0 end as new from hits
+), runs as (
+  select rn, pos, sum(new) over (partition by rn order by pos) as run from marked
+), spans as (
+  select rn, min(pos) as one, max(pos) + 400 as two from runs group by rn, run
+), gaps as (
+  select rn, coalesce(lag(two) over (partition by rn order by one), 0) as one, one as two from spans
+  union all select d.rn, max(s.two), max(d.n) from spans s join d on s.rn = d.rn group by d.rn
+), kept as (
+  select g.rn, string_agg(substr(d.hx, 2 * g.one + 1, 2 * (g.two - g.one)), '' order by g.one) as hx from gaps g join d on g.rn = d.rn group by g.rn
+), removed as (
+  select rn, sum(two - one) as n_removed, count(*) as n_spans from spans group by rn
+), w as (
+  select rn, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d
+), grams as (
+  select rn, md5(array_to_string(list_slice(w, k, k + 50), ' ')) as h from (select rn, w, unnest(range(1, len(w) - 49)) as k from w where len(w) >= 51)
+), shared as (
+  select distinct rn from grams where h in (select h from grams group by h having count(distinct rn) > 1)
+)
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(r.n_removed, 0) as bigint) as n_removed, cast(coalesce(r.n_spans, 0) as bigint) as n_spans,
+       sha256(case when k.rn is null then d.b else unhex(k.hx) end) as kept_sha256, s.rn is not null as shares_passage
+from d left join removed r on d.rn = r.rn left join kept k on d.rn = k.rn left join shared s on d.rn = s.rn
+"""
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +125,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_topk, op3_neardup, op4_pseudonyms, op5_ann, op6_mixing, op7_kdshards, op8_urlrules, op9_toxicity, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op8_urlrules": urlrules.oracle_sql(urlrules.RULES)}
+ORACLE_SQL: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_topk": OP2_SQL, "op8_urlrules": urlrules.oracle_sql(urlrules.RULES)}
