@@ -5,10 +5,13 @@ the 2d signed axes; more than one turn a table (`turns`) joins as many axes to o
 table. A query probes, in each table, the buckets of its `probes` best axes (of the best sums of axes, with more
 turns), and is scored exactly, on the original vectors, against every row that is filed there. Nothing is capped.
 
-The queries that probe a bucket meet its rows in tiles: a bucket with more than `tile` rows is cut by a hash of the
-id, its queries go to each piece, and each tile hands on at most k rows a query. So a bucket that holds a third of all
-rows is many tasks, and no pairs are written. 16 tables with 14 probes find over 0.95 of the true 20 nearest on
-random unit vectors of 64 dimensions, the hardest case; recall() measures it against brute force.
+Tables lie one of two ways, with the same result. While it moves less, rows are dealt to blocks by a hash of the id,
+each block files its own rows, and a query goes to every block: vectors move once, queries once a block. Larger
+tables (over about tables * probes blocks) are filed by bucket over the whole table: rows move once a table, queries
+once a probe; a bucket with more than `tile` rows is cut by a hash of the id and its queries go to each piece. Either
+way a task holds a bounded number of rows and queries and hands on at most k rows a query, so a bucket with a third
+of all rows is many tasks, and no pairs are written. 16 tables with 14 probes find over 0.95 of the true 20 nearest
+on random unit vectors of 64 dimensions, the hardest case; recall() measures it against brute force.
 
 Defined cases. Vectors that are null, empty, of zeros only, or hold null or non-finite components take no part, nor
 do null ids and vectors of another length than the most usual one. Of rows that repeat an id the least vector stands.
@@ -18,7 +21,7 @@ No query or an empty table: empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from .vectors import best, ranked, renewed, usable
 TABLES = 16
 PROBES = 14
 TILE = 4096
+#: Rows and queries of a block, at most.
+BLOCK = 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,12 +57,15 @@ def axes(x: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate([x, -x], axis=1)
 
 
-def _unit(b: pa.RecordBatch) -> np.ndarray:
-    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+def _unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit(b: pa.RecordBatch) -> np.ndarray:
+    return _unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+
+
 def _keys(x: np.ndarray, table: int, turns: int, probes: int) -> np.ndarray:
     """The `probes` best bucket keys of each vector, best first."""
     keys = sums = None
@@ -91,35 +99,77 @@ def _filed(tables: int, turns: int, probes: int):
     return run
 
 
-def _rerank(k: int, dim: int):
+def _flat(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), t.column("id").to_numpy()
+
+
+def _distinct(x: np.ndarray, xid: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the k nearest of anything: of copies of one vector the first k + 1 ids."""
+    copy = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((xid, copy))
+    rank = np.arange(len(copy)) - np.searchsorted(copy[order], copy[order], side="left")
+    return np.sort(order[rank <= k])
+
+
+def _nearest_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, filed: Callable | None = None) -> pa.Table:
+    """The k nearest rows of each query; filed(i, j): for queries i to j, which rows their probes find (default: all)."""
     types = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(0, len(q), 256):
+        some = filed(i, i + 256) if filed else None
+        at = np.arange(len(x)) if some is None else np.flatnonzero(some.any(axis=0))
+        if not len(at):
+            continue
+        s = q[i : i + 256] @ x[at].T
+        none = xid[None, at] == qid[i : i + 256, None]
+        none = none if some is None else none | ~some[:, at]
+        s[none] = -np.inf
+        # a product may differ in its last bits with the shape of the blocks: look again at what is so near the k-th
+        floor = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+        near = s >= np.where(np.isinf(floor), -np.inf, floor - 1e-9 * (1 + np.abs(floor)))[:, None]
+        r, c = np.nonzero(near & ~none)
+        score = np.concatenate([(q[r[j : j + 50_000] + i] * x[at[c[j : j + 50_000]]]).sum(axis=1) for j in range(0, len(r), 50_000)] or [np.zeros(0)])
+        out.append(best(r + i, xid[at[c]], score, k))
+    rows, ids, scores = (np.concatenate([o[j] for o in out]) for j in range(3))
+    return pa.table({"query_id": qid[rows.astype(np.int64)], "id": ids.astype(np.int64), "score": scores.astype(np.float64)}, schema=types)
+
+
+def _rerank(k: int, dim: int):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (q, qid), (x, xid) = _flat(left, dim), _flat(right, dim)
+        at = _distinct(x, xid, k) if len(x) else np.zeros(0, np.int64)
+        return _nearest_of(q, qid, x[at], xid[at], k)
+
+    return run
+
+
+def _probe_block(k: int, dim: int, tables: int, turns: int, probes: int):
+    """Files the rows of a block in tables of its own and takes each query through its probes."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return types.empty_table()
-        flat = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        q, qid, x, xid = flat(left), left.column("id").to_numpy(), flat(right), right.column("id").to_numpy()
-        order = np.argsort(xid, kind="stable")
-        x, xid = np.ascontiguousarray(x[order]), xid[order]
-        # of copies of one vector the first k + 1 ids can be among the k nearest of anything, the others cannot
-        copy = np.unique(x.view(np.dtype((np.void, 8 * dim))).ravel(), return_inverse=True)[1].ravel()
-        order = np.argsort(copy, kind="stable")
-        rank = np.empty(len(copy), np.int64)
-        rank[order] = np.arange(len(copy)) - np.searchsorted(copy[order], copy[order], side="left")
-        x, xid = x[rank <= k], xid[rank <= k]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i in range(0, len(q), 256):
-            s = q[i : i + 256] @ x.T
-            own = xid[None, :] == qid[i : i + 256, None]
-            s[own] = -np.inf
-            # a product may differ in its last bits with the shape of the blocks: look again at what is so near the k-th
-            floor = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-            r, c = np.nonzero((s >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None]) & ~own)
-            score = np.concatenate([(q[r[j : j + 50_000] + i] * x[c[j : j + 50_000]]).sum(axis=1) for j in range(0, len(r), 50_000)] or [np.zeros(0)])
-            out.append(best(r + i, xid[c], score, k))
-        rows, ids, scores = (np.concatenate([o[j] for o in out]) for j in range(3))
-        rows, ids, scores = best(rows.astype(np.int64), ids.astype(np.int64), scores.astype(np.float64), k)
-        return pa.table({"query_id": qid[rows], "id": ids, "score": scores}, schema=types)
+        (q, qid), (x, xid) = _flat(left, dim), _flat(right, dim)
+        if not len(q) or not len(x):
+            return _nearest_of(q[:0], qid[:0], x[:0], xid[:0], k)
+        at = _distinct(x, xid, k)
+        x, xid = x[at], xid[at]
+        unit_x, unit_q = _unit_rows(x), _unit_rows(q)
+        files = []
+        for t in range(tables):
+            buckets, place = np.unique(_keys(unit_x, t, turns, 1)[:, 0], return_inverse=True)
+            asked = _keys(unit_q, t, turns, probes)
+            bucket = np.minimum(np.searchsorted(buckets, asked), len(buckets) - 1)
+            files.append((place.ravel(), bucket.astype(np.int32), buckets[bucket] == asked, len(buckets)))
+
+        def filed(i: int, j: int) -> np.ndarray:
+            found = np.zeros((len(q[i:j]), len(x)), bool)
+            for place, bucket, there, n in files:
+                open_ = np.zeros((len(found), n), bool)
+                r, c = np.nonzero(there[i:j])
+                open_[r, bucket[i:j][r, c]] = True
+                found |= open_[:, place]
+            return found
+
+        return _nearest_of(q, qid, x, xid, k, filed)
 
     return run
 
@@ -132,7 +182,16 @@ def _tiled(left: DataFrame, right: DataFrame, k: int, dim: int, tile: int) -> Da
     return renewed(asks).groupBy("key", "piece").cogroup(renewed(rows).groupBy("key", "piece")).applyInArrow(_rerank(k, dim), "query_id long, id long, score double")
 
 
-def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, tables: int = TABLES, probes: int = PROBES, turns: int = 1, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _blocked(q: DataFrame, x: DataFrame, parts: int, blocks: int, run: Callable) -> DataFrame:
+    """Every query against the rows of every block: both sides in pieces of bounded size."""
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("part", dealt(parts)).select("part", every(blocks).alias("block"), "id", "x")
+    right = x.withColumn("block", dealt(blocks)).select(every(parts).alias("part"), "block", "id", "x")
+    return renewed(left).groupBy("part", "block").cogroup(renewed(right).groupBy("part", "block")).applyInArrow(run, "query_id long, id long, score double")
+
+
+def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, tables: int = TABLES, probes: int = PROBES, turns: int = 1, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id_col, score): for each row that is_query (a condition on id_col) its k nearest other rows found.
 
     Nearness is the inner product of the original vectors in double precision; ties go to the smaller id.
@@ -142,20 +201,24 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, tables: int
     dims = x.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not dims:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    dim = dims[0]["d"]
+    dim, n = dims[0]["d"], dims[0]["n"]
     x = materialize(x.filter(F.size("x") == dim))
     q = x.join(asked, "id", "left_semi")
-    filed = x.mapInArrow(_filed(tables, turns, 1), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    probed = q.mapInArrow(_filed(tables, turns, probes), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    found = _tiled(probed.join(q, "id").select("key", "id", "x"), filed.join(x, "id").select("key", "id", "x"), k, dim, tile)
+    parts = max(1, -(-q.count() // block))
+    # few rows: smaller blocks, for more tasks; the candidates are the same
+    blocks = max(1, -(-n // block), min(16, n // 1024))
+    if parts <= tables and blocks <= tables * probes:
+        found = _blocked(q, x, parts, blocks, _probe_block(k, dim, tables, turns, probes))
+    else:
+        filed = x.mapInArrow(_filed(tables, turns, 1), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+        probed = q.mapInArrow(_filed(tables, turns, probes), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+        found = _tiled(probed.join(q, "id").select("key", "id", "x"), filed.join(x, "id").select("key", "id", "x"), k, dim, tile)
     found = materialize(ranked(found.distinct(), k, "score").select("query_id", "rank", "id", "score"))
     short = q.select("id").join(found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("id")
     short = materialize(short)
     if not short.isEmpty():
         # all rows, in pieces, for the queries whose buckets held too few
-        pieces = max(1, -(-x.count() // tile))
-        piece = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-        whole = _tiled(q.join(short, "id").select(piece.alias("key").cast("long").alias("key"), "id", "x"), x.select(F.pmod(F.xxhash64("id"), F.lit(pieces)).alias("key"), "id", "x"), k, dim, tile)
+        whole = _blocked(q.join(short, "id", "left_semi"), x, max(1, -(-short.count() // block)), max(1, -(-n // tile)), _rerank(k, dim))
         whole = ranked(whole.distinct(), k, "score").select("query_id", "rank", "id", "score")
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
     return found.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -10,11 +10,14 @@ is collected or broadcast; each tile hands on at most k rows a query, and the k
 
 Defined cases. Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids and
 vectors of another length than the most usual one. Of rows that repeat an id the least
-vector stands. Fewer than k candidates: all are returned. No query or an empty table: empty.
+vector stands. Components and scores beyond 64 bits count as the least or greatest long. Fewer than k candidates: all
+are returned. No query or an empty table: empty.
 """
 
 from __future__ import annotations
 
+from heapq import nsmallest
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,7 +45,7 @@ def _search(k: int, dim: int):
         if most < 2**53:  # exact in doubles, so BLAS may do it
             q, x = q.astype(np.float64), x.astype(np.float64)
         elif most >= 2**63:
-            raise OverflowError("scores exceed 64 bits")
+            return _in_whole_numbers(q, qid, x, xid, k, types)
         ends = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
         starts = np.concatenate([[0], ends[:-1]])
         top, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
@@ -74,6 +77,16 @@ def _search(k: int, dim: int):
     return run
 
 
+def _in_whole_numbers(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, types: pa.Schema) -> pa.Table:
+    """As _search, for scores that may pass 64 bits: Python's integers, held to the least and greatest long at the end."""
+    rows, out = [[int(c) for c in v] for v in x], []
+    for a, v in zip(qid.tolist(), q, strict=True):
+        v = [int(c) for c in v]
+        scores = ((max(-(2**63), min(2**63 - 1, sum(c * d for c, d in zip(v, r, strict=True)))), i) for r, i in zip(rows, xid.tolist(), strict=True) if i != a)
+        out += [(a, i, s) for s, i in nsmallest(k, scores, key=lambda p: (-p[0], p[1]))]
+    return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], schema=types)
+
+
 def top_k(vectors: DataFrame, is_query: Column | str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, id_col, score): for each row that is_query (a condition on id_col) its k best other rows.
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from drafthorse.llm import queries
 from drafthorse.llm.ann import axes, hadamard, nearest, recall
 from drafthorse.llm.topk import top_k
 
@@ -55,6 +56,52 @@ def test_nearest(spark):
     assert recall(got, spark.createDataFrame(true, "query_id long, vec_id long")) >= 0.9
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 21, 45])
+def test_nearest_of_few(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, Q, k=20).collect())
+    want = []
+    for q in range(0, n, 20):
+        others = sorted((i for i in range(n) if i != q), key=lambda i: (-float(x[i] @ x[q]), i))[:20]
+        want += [(q, k, i) for k, i in enumerate(others, 1)]
+    assert got == sorted(want)
+
+
+def test_blocks_and_buckets_agree(spark):
+    _, df = table(spark)
+    one, two = (sorted(map(tuple, nearest(df, Q, k=5, probes=3, tables=6, **kw).collect())) for kw in ({"block": 100}, {"block": 4, "tile": 64}))
+    assert one == two
+
+
+def test_query_recall(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet' where embedding is not null").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    true = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        true |= {(int(ids[q]), int(i)) for i in ids[np.lexsort((ids, -s))[:20]]}
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op5_ann(spark, sf).collect()}
+    assert len(got & true) / len(true) >= 0.9
+
+
+def test_scores_past_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e9, 2.0]), (1, [1e9, 1.0]), (2, [-1e9, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df, Q, k=2, scale=64.0).collect()))
+    s = lambda a, b: sum(int(64 * p) * int(64 * q) for p, q in zip(a, b, strict=True))
+    v = {0: (1e9, 2.0), 1: (1e9, 1.0), 2: (-1e9, 1.0), 20: (1.0, 1.0)}
+    want = []
+    for q in (0, 20):
+        best = sorted((-max(-(2**63), min(2**63 - 1, s(v[q], v[i]))), i) for i in v if i != q)[:2]
+        want += [(q, k, i, -c) for k, (c, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 def test_rotation_is_orthogonal():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(5, 16))
