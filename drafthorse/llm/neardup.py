@@ -8,14 +8,18 @@ MinHash values, are computed from 48 values; a table is keyed by one hash of eit
 
 Candidates are narrowed in steps that lose no table hit: documents with the same set are one, hashes that no other
 set has are put aside, tables are keyed from the rest, and keys of one document are put aside. Then every document
-is held against the first one of its tables. Tables whose members are not yet in one component are joined to clusters;
-in a cluster the documents outside its largest component are held against all of it, in tiles of bounded size, by
-posting lists of the whole sets, and a tile hands on only links that join components. So a group of N copies costs N
-comparisons, and no list of pairs grows with the square of a group.
+is held against the first one of its tables. The members of tables that are not yet in one component stay open. Two sets
+of similarity 0.75 share one of the rarest quarter of the shingles of either (their prefix, by how many open documents
+have a shingle), so only open documents that share a prefix shingle are held against each other: they are joined to
+clusters, and in a cluster the documents outside its largest component are held against all of it, in tiles of bounded
+size, by posting lists of the whole sets; a tile hands on only links that join components. A passage that many
+documents share is rare in none of them, so it glues no clusters. A group of N copies costs N comparisons, and
+no list of pairs grows with the square of a group.
 
 Defined cases. Null text, empty text and text of white space have an empty set, are linked with nothing and keep
-their own id. Rows with a null id are left out. Rows that repeat an id are judged row by row on their own text, but
-are one node: a link of one is a link of all. Other columns are not read. An empty table gives an empty result.
+their own id. Very long texts have their whole set. Rows with a null id are linked with nothing: their component_id is
+null, and they are kept. Rows that repeat an id are judged row by row on their own text, but are one node: a link of
+one is a link of all. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import materialize
+from ..session import discard, materialize
 from .bytekernel import FOLDED, SPACE, U64, mix, prefix, slices, span_hash, words
 
 SHINGLE = 5
@@ -144,16 +148,36 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.size("ga") + F.size("gb") - F.col("common"))).select("a", "b").distinct()
 
 
+def prefix_clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, cluster) of the documents (id, grams) that share a shingle of their prefixes with another; pairs of
+    similarity >= percent / 100 are always in one cluster.
+
+    A prefix are the size - ceil(size * percent / 100) + 1 rarest shingles; those of one document alone count in it
+    but link nothing.
+    """
+    n = F.size("grams")
+    length = (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int")
+    grams = sets.select("id", F.xxhash64("grams").alias("k"), length.alias("length"), n.alias("n"), F.explode("grams").alias("g"))
+    common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("id", "k")
+    place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count(F.lit(1)).over(own)
+    kept = materialize(grams.join(common, "g").withColumn("place", place).filter("place <= length").select("id", "g"))
+    heads = kept.groupBy("g").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head < tail").select("g", "head")
+    found = connected_components(kept.join(heads, "g").select(F.col("id").alias("a"), F.col("head").alias("b")), "a", "b")
+    return found.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id_col, n_shingles, component_id, n_links, kept), a row for each row with an id.
+    """(id_col, n_shingles, component_id, n_links, kept), a row for each row.
 
     Links join documents whose sets have similarity >= percent / 100; component_id is the smallest id that links
     reach, kept marks the one document of a component that has it. n_links counts the links that were confirmed on
     the way there (copies of one set count as linked to the first of them).
     """
-    x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = materialize(x.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, sig binary"))
-    full = rows.filter("n > 0")
+    all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    x = all_rows.filter("id is not null")
+    rows = materialize(all_rows.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, sig binary"))
+    full = rows.filter("n > 0 and id is not null")
     first = full.groupBy("d1", "d2").agg(F.min("id").alias("first"))
     same = full.select("id", "d1", "d2").join(first, ["d1", "d2"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sets_of = full.join(first, ["d1", "d2"]).filter("id = first").select("id", "d1", "d2", "sig").dropDuplicates(["id", "d1", "d2"])
@@ -170,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(tables.join(heads, "t").select("t", "id", "head"))
 
     named = members.select("id").distinct()
-    sets = materialize(x.join(named, "id").select("id", "text").mapInArrow(_sets, "id long, grams array<long>").filter("size(grams) > 0"))
+    texts = x.withColumn("h", F.xxhash64("text")).join(named, "id").dropDuplicates(["id", "h"])
+    sets = materialize(texts.select("id", "text").mapInArrow(_sets, "id long, grams array<long>").filter("size(grams) > 0"))
     star = members.filter("id <> head").groupBy("id").agg(F.min("head").alias("a")).select("a", F.col("id").alias("b"))
     links = materialize(confirm(star, sets, percent).unionByName(same))
     found = connected_components(links, "a", "b")
@@ -179,10 +204,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = placed.groupBy("t").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 < c2")
     open_ = materialize(placed.join(split.select("t"), "t", "left_semi"))
     if not open_.isEmpty():
-        heads = open_.groupBy("t").agg(F.min("id").alias("head"))
-        clusters = connected_components(open_.join(heads, "t").select(F.col("id").alias("a"), F.col("head").alias("b")), "a", "b")
-        inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(open_.select("id", "component").distinct(), "id")
-        inside = materialize(inside)
+        loose = materialize(open_.select("id", "component").distinct())
+        clusters = prefix_clusters(sets.join(loose.select("id"), "id", "left_semi"), percent)
+        inside = clusters.join(loose, "id")
+        mixed = inside.groupBy("cluster").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("cluster")
+        inside = materialize(inside.join(mixed, "cluster", "left_semi").select("id", "cluster", "component"))
         sizes = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
         parts = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
@@ -201,9 +227,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     seen = found.join(degree, "node", "left")
+    discard(members)
     out = rows.select("id", "n").join(seen, rows["id"] == seen["node"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (component == F.col("id")).alias("kept"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )

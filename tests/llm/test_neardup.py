@@ -1,5 +1,6 @@
 import random
 
+from drafthorse.llm import neardup
 from drafthorse.llm.neardup import near_duplicates
 
 
@@ -28,8 +29,11 @@ def check(spark, rows):
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component long")
     got = near_duplicates(docs).collect()
     want, sets = brute([r for r in rows if r[0] is not None])
-    assert len(got) == sum(r[0] is not None for r in rows)
+    assert len(got) == len(rows)
     for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"] and r["n_links"] == 0
+            continue
         assert r["component_id"] == want[r["doc_id"]]
         assert r["kept"] == (want[r["doc_id"]] == r["doc_id"])
         assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
@@ -55,6 +59,25 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
+def test_a_passage_glues_no_cluster(spark):
+    """Half of each text is one passage: tables put them together, prefixes do not; two that go further are linked."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = " ".join(word() for _ in range(80))
+    rows = [(i, passage + " " + " ".join(word() for _ in range(70))) for i in range(60)]
+    rows += [(60, rows[10][1] + " more"), (61, rows[20][1].replace("w1", "v1", 1))]
+    check(spark, rows)
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "id long, text string")
+    sets = docs.mapInArrow(neardup._sets, "id long, grams array<long>")
+    assert {r["id"] for r in neardup.prefix_clusters(sets, 75).collect()} == {10, 20, 60, 61}
+
+
+def test_long_text_and_its_copy(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(60_000))
+    check(spark, [(1, long), (2, long + " end"), (3, long[:200_000]), (4, "short text")])
+
+
 def test_copies_and_empty(spark):
     check(spark, [(i, "the same seven words in every text") for i in range(30)])
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
