@@ -32,10 +32,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         labels = to.select(F.col("v").alias("node"), F.col("to").alias("root")) if labels is None else (
             labels.join(to, labels["root"] == to["v"], "left").select("node", F.coalesce("to", "root").alias("root")).coalesce(tasks(total))
         )
+        old = e
         one, two = to.select(F.col("v").alias("a"), F.col("to").alias("ra")), to.select(F.col("v").alias("b"), F.col("to").alias("rb"))
         e = e.coalesce(k).join(one.coalesce(k), "a").coalesce(k).join(two.coalesce(k), "b").filter("ra <> rb")
         e = materialize(e.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).coalesce(k).distinct().coalesce(k))
         left = e.count()
+        discard(old)
         if not left:
             break
     else:
