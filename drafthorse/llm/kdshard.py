@@ -1,14 +1,15 @@
 """Sharding by a k-d tree: nodes are cut at weighted medians along their widest metadata dimension.
 
-All dimensions are read off the text, so equal texts are one point and stay in one shard. The nodes of a level are
-cut together. The median of a node is found by histograms of the dimension's value, then, among rows with that
+All dimensions (size, shares of line ends, spaces and bytes past one a character) are read off the text, so equal texts
+are one point and stay in one shard. Nodes are cut until leaves reach the target bytes; the nodes of a level are cut
+together. The median of a node is found by histograms of the dimension's value, then, among rows with that
 value, of a 64-bit hash of the text: each pass counts bytes in at most 2^levels * BINS bins, and only those bins come
 to the driver. The tree has 2^levels - 1 nodes and is applied to the rows as one expression: no row is moved to be
 placed. Slots are numbered by chunks, so a shard's rows need not meet in one task.
 
 A group of equal texts heavier than a shard's share cannot be cut; its shard is larger by that.
 
-Defined cases. Null text: size 1, as the empty text. Null ids are ids like any other. Repeated rows are rows of
+Defined cases. Null text: size 1, as the empty text. A text longer than the target is a shard's alone, or nearly. Null ids are ids like any other. Repeated rows are rows of
 their own with their own slots, in one shard. Other columns are not read. An empty table gives an empty result.
 """
 
@@ -21,7 +22,7 @@ from ..operators.numbering import number_within
 from ..session import materialize
 
 BINS = 2048
-DIMENSIONS = ("log_size", "line_share", "space_share", "mark")
+DIMENSIONS = ("log_size", "line_share", "space_share", "wide_share")
 
 
 def _metadata(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,13 +31,12 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     x = docs.select(F.col(id_col).alias("id"), raw.alias("t"), (F.octet_length(raw) + 1).cast("long").alias("size"))
     scaled = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * (1 << 20)).cast("long")
     share = lambda c: F.col("size") - F.octet_length(F.replace("t", F.lit(c), F.lit("")))
-    mark = F.pmod(F.xxhash64(F.lit("mark"), "t"), F.lit(1 << 20))
     return x.select(
         "id", "size", F.crc32(F.col("t").cast("binary")).cast("long").alias("crc"),
         scaled(F.log2(F.col("size").cast("double")) / 40).alias("log_size"),
         scaled(share("\n") / F.col("size") * 8).alias("line_share"),
         scaled(share(" ") / F.col("size") * 2).alias("space_share"),
-        mark.alias("mark"), F.pmod(F.xxhash64("t"), F.lit(1 << 31)).alias("hash"),
+        scaled((F.col("size") - 1 - F.length("t")) / F.col("size")).alias("wide_share"), F.pmod(F.xxhash64("t"), F.lit(1 << 31)).alias("hash"),
     )
 
 
@@ -107,9 +107,18 @@ def node_of(tree: dict[int, tuple[str, int, int]], level: int) -> Column:
     return below(1, level)
 
 
-def kd_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, size, text_crc32, shard, slot): 2^levels shards of nearly equal bytes; slots count from 0 in each."""
+def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, size, text_crc32, shard, slot): shards of nearly equal bytes, at most about target_bytes each (or as
+    many as `shards`, a power of two, which sets the target); slots count from 0 in each.
+    """
+    if (target_bytes is None) == (shards is None):
+        raise ValueError("give target_bytes or shards")
     rows = materialize(_metadata(docs, id_col, text_col))
+    total = rows.agg(F.sum("size")).collect()[0][0] or 0
+    target = target_bytes or -(-total // shards)
+    levels = 0
+    while total > target << levels:
+        levels += 1
     tree = kd_tree(rows, levels)
     placed = rows.select("id", "size", "crc", "hash", (node_of(tree, levels) - (1 << levels)).cast("int").alias("shard"))
     slots = number_within(placed, ["shard"], ["id", "hash", "size"], "slot")

@@ -1,21 +1,27 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are cut into blocks. With weight w, block i of a source (from 0) is released at slot
-floor(i / w) and due at ceil((i + 1) / w); of the released blocks the earliest deadline runs, so that after any
-number of slots each source has had its share to within less than one block, as long as no source has run out. Slots
-come from the exact rational weights, so no drift adds up. The schedule is drawn up on the driver from the sources'
-numbers of blocks (one step a block, 16 a MB of text) and handed on in slices.
+Each source's documents form one run of bytes, cut into blocks. With weight w, block i of a source (from 0) is
+released at slot floor(i / w) and due at ceil((i + 1) / w); of the released blocks the earliest deadline runs, so
+that after any number of slots each source has had its share to within less than one block, as long as no source has
+run out. Slots come from the exact rational weights, so no drift adds up. A document stands in the block in which it
+begins; one that is longer than a block uses up the slots of all the blocks that it covers, so a source's bytes are
+never ahead of or behind its share by more than a block and its longest document.
+
+The schedule is drawn up on the driver, one step a block. Blocks hold `block_bytes`; by default 64 KB, or a 2^20th of
+all text where that is more, so the schedule has about a million entries at most, whatever the input.
 
 A source that has run out leaves its slots empty; they close up, and the others go on in their proportion. Nothing
 is dropped or repeated: what a source has beyond the others comes last.
 
-Blocks hold about `block_bytes` of text: a source is dealt into chunks by a hash of the id, and a chunk is cut where
-its running size passes a block's border, so no source is sorted in one task.
+The order inside a source is by a hash of id and text: rows are dealt into chunks of about 64 blocks by it and sorted
+inside a chunk; a chunk begins where the bytes of those before it end. So no source is sorted in one task, and the
+windows over blocks are cut into spans of `period` slots.
 
-Defined cases. Null source is a source of its own (as ''). Null text has size 0. Null ids and repeated rows are rows
-like any other. Sources without a given weight, or all of them by default, take weights in proportion to the square
-root of their bytes. Sources of weight 0 come after all others, in equal shares. The number of sources is bounded only
-by the driver's memory. An empty table gives an empty result.
+Defined cases. Null source is a source of its own (as ''). A document counts its bytes and one more, so empty and null
+texts (one byte) fill blocks too. Null ids and repeated rows are rows like any other. Very long texts: as above. Sources
+without a given weight weigh `other`; without that, a missing weight is a ValueError, as are weights below 0 or
+all 0. Without any given weight sources weigh the square root of their bytes. Sources of weight 0 come after all others,
+in equal shares. The number of sources is bounded only by the driver's memory. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,60 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.numbering import number_within
-from ..session import materialize
+from ..session import discard, materialize
 
-PERIOD = 1024
+PERIOD = 64
 BLOCK_BYTES = 1 << 16
+#: Blocks of the whole schedule, about, from where blocks grow.
+MOST_BLOCKS = 1 << 20
 CHUNK_BLOCKS = 64
 #: Slots handed to Spark at a time.
 SLICE = 1 << 18
-
-
-def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of a period for each source: largest remainders, one at least."""
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(weights.values())
-    if not total > 0 or min(weights.values()) < 0:
-        raise ValueError("weights must not be negative, and one must be positive")
-    exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (parts[s] - exact[s], s))
-    while (gap := period - sum(parts.values())) != 0:
-        for s in order if gap > 0 else reversed(order):
-            if gap > 0 or parts[s] > 1:
-                parts[s] += 1 if gap > 0 else -1
-                gap += -1 if gap > 0 else 1
-            if not gap:
-                break
-    return parts
-
-
-def pfair_period(parts: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, index of its block in the period) for each slot: earliest deadline first among the released.
-
-    Ties of deadlines go to the block whose successor is pressed the more (its window overlaps the next one), then to
-    the tighter deadline after it, then by name.
-    """
-    period = sum(parts.values())
-    ceil = lambda a, b: -(-a // b)
-    released: list[tuple] = []
-    at: dict[int, list[tuple[str, int]]] = {}
-    for s, c in parts.items():
-        for i in range(c):
-            at.setdefault(i * period // c, []).append((s, i))
-    out = []
-    for slot in range(period):
-        for s, i in at.get(slot, ()):
-            c = parts[s]
-            overlap = (i + 1) * period % c != 0
-            heappush(released, (ceil((i + 1) * period, c), not overlap, -ceil((i + 2) * period, c) if overlap else 0, s, i))
-        due, _, _, s, i = heappop(released)
-        if due <= slot:
-            raise AssertionError("a deadline was missed")
-        out.append((s, i))
-    return out
+#: Sources whose table is small enough to be broadcast for sure.
+FEW_SOURCES = 10_000
 
 
 def pfair(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
@@ -130,45 +93,57 @@ def _schedule(spark: SparkSession, weights: dict[str, float], blocks: dict[str,
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _before(df: DataFrame, by: list[str], at: str, value: str, wide: int) -> DataFrame:
+    """(by, at, base): sum of `value` over the rows of the group with a smaller `at`, by spans of `wide` values of `at`."""
+    far = F.floor(F.col(at) / wide).alias("far")
+    ahead = lambda keys, along: Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda keys, along: F.coalesce(F.sum(value).over(ahead(keys, along)), F.lit(0))
+    spans = df.groupBy(*by, far).agg(F.sum(value).alias(value))
+    spans = spans.select(*by, "far", total(by, "far").alias("more"))
+    inside = df.withColumn("far", far).withColumn("lead", total([*by, "far"], at))
+    return inside.join(spans, [*by, "far"]).select(*by, at, (F.col("lead") + F.col("more")).alias("base"))
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, other: float | None = None, period: int = PERIOD, block_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id_col, source_col, block, slot, position): the mixed order of all rows.
 
     block counts from 0 in its source, slot is its place in the schedule, position numbers the rows in the order of
-    (slot, place in the block) without gaps. period: slots whose rows are numbered together; it does not change the order.
+    (slot, place in the block) without gaps. other: weight of each source that `weights` does not name.
     """
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(source_col).alias("named"), size.alias("size"), F.xxhash64(F.lit("mix"), id_col, text_col).alias("h"))
-    rows = materialize(rows)
-    sizes = {r["src"]: r["w"] for r in rows.groupBy("src").agg(F.sum("size").alias("w")).collect()}
     spark = docs.sparkSession
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
+    rows = materialize(docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(source_col).alias("named"),
+        size.alias("size"), F.xxhash64(F.lit("mix"), id_col, text_col).alias("h"),
+    ))
+    sizes = {r["src"]: r["w"] for r in rows.groupBy("src").agg(F.sum("size").alias("w")).collect()}
     if not sizes:
         return spark.createDataFrame([], f"{id_col} long, {source_col} string, block long, slot long, position long")
-    named = weights or {}
-    free = {s: max(1, w) ** 0.5 for s, w in sizes.items() if s not in named}
-    if named and free:
-        raise ValueError(f"no weight for {sorted(free)[:5]}")
-    share = {s: named[s] for s in sizes} if named else free
+    if weights is None:
+        share = {s: float(w) ** 0.5 if other is None else other for s, w in sizes.items()}
+    else:
+        missing = sorted(s for s in sizes if s not in weights)
+        if missing and other is None:
+            raise ValueError(f"no weight for {missing[:5]}")
+        share = {s: weights.get(s, other) for s in sizes}
+    block_bytes = block_bytes or max(BLOCK_BYTES, -(-sum(sizes.values()) // MOST_BLOCKS))
     chunks = spark.createDataFrame([(s, max(1, -(-w // (block_bytes * CHUNK_BLOCKS)))) for s, w in sizes.items()], "src string, chunks long")
+    chunks = F.broadcast(chunks) if len(sizes) <= FEW_SOURCES else chunks
+    schedule = _schedule(spark, share, {s: -(-w // block_bytes) for s, w in sizes.items()})
 
-    dealt = rows.join(F.broadcast(chunks), "src").withColumn("chunk", F.pmod("h", "chunks"))
+    dealt = rows.join(chunks, "src").withColumn("chunk", F.pmod("h", "chunks"))
     order = Window.partitionBy("src", "chunk").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("own", F.floor(F.coalesce(F.sum("size").over(order), F.lit(0)) / block_bytes).cast("long"))
-    dealt = materialize(dealt.select("id", "named", "src", "h", "chunk", "own"))
-    blocks = materialize(number_within(dealt.groupBy("src", "chunk", "own").agg(F.count(F.lit(1)).alias("n")), ["src"], ["chunk", "own"], "block"))
-    counts = {r["src"]: r["k"] for r in blocks.groupBy("src").agg(F.count(F.lit(1)).alias("k")).collect()}
-    blocks = materialize(blocks.join(_schedule(spark, share, counts), ["src", "block"]).select("src", "chunk", "own", "n", "block", "slot"))
-    # rows before a slot: summed by spans of slots first, so no window holds all blocks
-    span = F.floor(F.col("slot") / period)
-    spans = blocks.groupBy(span.alias("span")).agg(F.sum("n").alias("n"))
-    wide = spans.groupBy(F.floor(F.col("span") / period).alias("far")).agg(F.sum("n").alias("n"))
-    before = Window.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
-    wide = wide.select("far", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("far").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("far", F.floor(F.col("span") / period)).withColumn("base", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    spans = spans.join(wide.withColumnRenamed("base", "more"), "far").select("span", (F.col("base") + F.col("more")).alias("base"))
-    within = Window.partitionBy("span").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("span", span).withColumn("lead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(spans, "span")
-    placed = placed.select("src", "chunk", "own", "block", "slot", (F.col("base") + F.col("lead")).alias("first"))
-    rank = Window.partitionBy("src", "chunk", "own").orderBy("h", "id")
-    out = dealt.join(placed, ["src", "chunk", "own"]).withColumn("position", (F.col("first") + F.row_number().over(rank) - 1).cast("long"))
+    bases = _before(dealt.groupBy("src", "chunk").agg(F.sum("size").alias("size")), ["src"], "chunk", "size", 1024)
+    dealt = dealt.withColumn("lead", F.coalesce(F.sum("size").over(order), F.lit(0))).join(bases, ["src", "chunk"])
+    dealt = dealt.withColumn("start", F.col("base") + F.col("lead"))
+    dealt = materialize(dealt.select("id", "named", "src", "h", "start", F.floor(F.col("start") / block_bytes).cast("long").alias("block")))
+    blocks = materialize(dealt.groupBy("src", "block").agg(F.count(F.lit(1)).alias("n")).join(schedule, ["src", "block"]))
+    spans = blocks.withColumn("all", F.lit(0))
+    first = _before(spans.groupBy("all", F.floor(F.col("slot") / period).alias("span")).agg(F.sum("n").alias("n")), ["all"], "span", "n", 1024)
+    inside = Window.partitionBy("span").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("span", F.floor(F.col("slot") / period)).withColumn("lead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(first, "span")
+    placed = placed.select("src", "block", "slot", (F.col("base") + F.col("lead")).alias("first"))
+    rank = Window.partitionBy("src", "block").orderBy("start")
+    out = dealt.join(placed, ["src", "block"]).withColumn("position", (F.col("first") + F.row_number().over(rank) - 1).cast("long"))
+    discard(rows)
     return out.select(F.col("id").alias(id_col), F.col("named").alias(source_col), "block", "slot", "position")

@@ -11,7 +11,7 @@ several times faster and gives the same ids (held against each other over every
 special token's string goes through `tokenizers` itself.
 
 Defined cases. Null text is empty; an empty document is its end id alone. Repeated rows are documents of their own.
-Null ids are ids like any other. Other columns are not read. An empty table gives an empty result.
+Very long texts are encoded whole and cut into full windows. Null ids are ids like any other. Other columns are not read. An empty table gives an empty result.
 
 With a column of positions, pieces of one length are taken in its order, and sequences are numbered in the order of
 their leading (longest) pieces, so a mixed order reaches the sequences.
@@ -50,7 +50,7 @@ def _encoder(json_file: str, rank_file: str):
         fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         _encoders[json_file, rank_file] = fast, Tokenizer.from_file(json_file)
     fast, exact = _encoders[json_file, rank_file]
-    return lambda text: exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+    return lambda text: exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_to_numpy(text, disallowed_special=())
 
 
 def tokenizer_files(names: tuple[str, str] = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")) -> tuple[str, str]:
@@ -66,14 +66,15 @@ def _pieces(files: tuple[str, str] | None, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(*(files or tokenizer_files()))
         for b in batches:
-            rows = []
-            for i, text, place in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                text, place = text.as_py(), place.as_py()
-                ids = np.array([*(encode(text) if text else ()), end_id], "<u4")
-                i = i.as_py()
-                rows += [(i, s, min(window, len(ids) - s), zlib.crc32(ids[s : s + window].tobytes()), len(ids), place) for s in range(0, len(ids), window)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+            row, start, length, crc, total = [], [], [], [], []
+            for r, text in enumerate(b.column(1)):
+                text = text.as_py()  # one text at a time: a batch's ids would be many times its size
+                ids = np.append(encode(text), end_id).astype("<u4") if text else np.array([end_id], "<u4")
+                for s in range(0, len(ids), window):
+                    piece = ids[s : s + window]
+                    row.append(r), start.append(s), length.append(len(piece)), crc.append(zlib.crc32(piece)), total.append(len(ids))
+            at = pa.array(row, pa.int64())
+            yield pa.record_batch([b.column(0).take(at), *(pa.array(c, pa.int64()) for c in (start, length, crc, total)), b.column(2).take(at)], schema=types)
 
     return run
 

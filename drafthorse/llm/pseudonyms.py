@@ -1,17 +1,18 @@
 """Pseudonyms for personal data, in DataFrame functions alone.
 
-Values are found by one pattern and, where their format has a check, validated: card numbers (Luhn), IBANs (mod 97),
+Values are found by one pattern and, where their format has a check, validated: card numbers (issuer and Luhn), IBANs (mod 97),
 telephone numbers in the shape of the +1 plan (any area and exchange), social security numbers, IPv4 addresses, dates from 1800 to 2199. A valid value is
 permuted by a keyed Feistel network on exactly the values of its format (two halves with their own moduli, eight
 rounds of SHA-256), check digits are made anew, and separators stay where they are. So a pseudonym is valid itself,
-equal values have equal pseudonyms in every document, and the holder of the key can go back (`inverse=True`).
+equal values have equal pseudonyms in every document, and the holder of the key can go back (`inverse=True`). Of an
+IBAN every account digit is permuted and every letter masked under them; the country alone stays.
 Mail addresses and secrets have no such domain: they are replaced by keyed digests in their format, equal for equal
 values as well. Anything else in a text, numbers that fail their check included, is left as it is. Names of secrets are matched in any case. An IBAN ends where
 its country's length says, for other countries where mod 97 comes out at 1.
 
 Nothing is shuffled: a text is split at its matches, and joined again.
 
-Defined cases. Null text stays null. Empty text stays empty. The number of matches in a text is not limited. Repeated
+Defined cases. Null text stays null. Empty text stays empty. Very long texts are gone through whole; the number of matches in a text is not limited. Repeated
 rows get equal results. Null ids are ids like any other. Columns that are not asked for are not read. An empty
 table gives an empty result.
 """
@@ -34,6 +35,20 @@ IBAN_LENGTHS = {
 }
 
 
+#: First digits of card issuers, and what follows them.
+ISSUERS = {
+    "4": "(?:[0-9]{12}|[0-9]{15}|[0-9]{18})",
+    "5[1-5]": "[0-9]{14}",
+    "222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720": "[0-9]{12}",
+    "3[47]": "[0-9]{13}",
+    "6011|65[0-9]{2}|64[4-9][0-9]": "[0-9]{12}",
+    "30[0-5]|3[68][0-9]": "[0-9]{11}",
+    "352[89]|35[3-8][0-9]": "[0-9]{12}",
+    "62": "[0-9]{14,17}",
+    "5[06-8]": "[0-9]{11,17}",
+}
+
+
 def _iban_of(length: int, countries: str) -> str:
     groups, rest = divmod(length - 4, 4)
     last = f" [A-Z0-9]{{{rest}}}" if rest else ""
@@ -142,10 +157,18 @@ def _mod97(s: Column) -> Column:
 
 
 def _card(m: Column, key: str, inverse: bool) -> Column:
+    """The issuer's digits stay, so that a pseudonym is of the same issuer; the check digit is made anew."""
+
     def run(d: Column) -> Column:
-        body = F.concat(_part(d, 1, 1), _digits_permuted(_part(d, 2, F.length(d) - 2), key, F.concat(F.lit("card"), _part(d, 1, 1)), inverse))
-        whole = let(body, lambda x: F.concat(x, F.pmod(-_luhn(x, 0), F.lit(10)).cast("string")))
-        return F.when(_luhn(d, 1) % 10 == 0, fill(m, whole)).otherwise(m)
+        lead = F.regexp_extract(d, f"^(?:{'|'.join(ISSUERS)})", 0)
+
+        def body(p: Column) -> Column:
+            n = F.length(p)
+            return F.concat(p, _digits_permuted(F.substring(d, n + 1, F.length(d) - n - 1), key, F.concat(F.lit("card"), p), inverse))
+
+        whole = let(let(lead, body), lambda x: F.concat(x, F.pmod(-_luhn(x, 0), F.lit(10)).cast("string")))
+        issued = d.rlike("^(?:" + "|".join(f"(?:{lead}){rest}" for lead, rest in ISSUERS.items()) + ")$")
+        return F.when(issued & (_luhn(d, 1) % 10 == 0), fill(m, whole)).otherwise(m)
 
     return let(_only(m, "0-9"), run)
 
@@ -166,17 +189,45 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
     return let(F.split(m, " "), run)
 
 
+def _long_digits_permuted(digits: Column, key: str, label: Column, inverse: bool) -> Column:
+    """As _digits_permuted for 2 to 36 digits: over 18 the first half is permuted under the new second half."""
+
+    def run(d: Column) -> Column:
+        half = F.floor(F.length(d) / 2).cast("int")
+        first, last = _part(d, 1, half), F.substring(d, half + 1, F.length(d))
+        new_last = _digits_permuted(last, key, label, inverse)
+        both = let(new_last, lambda x: F.concat(_digits_permuted(first, key, F.concat(label, F.lit("|"), last if inverse else x), inverse), x))
+        return F.when(F.length(d) <= 18, _digits_permuted(d, key, label, inverse)).otherwise(both)
+
+    return let(digits, run)
+
+
+def _letters_masked(letters: Column, key: str, label: Column, inverse: bool) -> Column:
+    """Capital letters moved on in the alphabet by what a digest of the label says for their place."""
+
+    def run(mask: Column) -> Column:
+        def move(c: Column, i: Column) -> Column:
+            by = F.conv(F.substring(mask, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
+            return F.char(F.pmod(F.ascii(c) - 65 + (-by if inverse else by), F.lit(26)) + 65)
+
+        return F.array_join(F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), move), "")
+
+    return let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("letters"), label), 256), run)
+
+
 def _iban_whole(m: Column, key: str, inverse: bool) -> Column:
+    """All digits of the account are permuted, then its letters are masked by the permuted digits."""
+
     def run(s: Column) -> Column:
         country, rest = _part(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
 
         def numbers(digits: Column) -> Column:
-            n = F.length(digits)
-            head = F.greatest(n - 18, F.lit(0))
-            new = fill(rest, F.concat(_part(digits, 1, head), _digits_permuted(F.substring(digits, head + 1, n), key, F.concat(F.lit("iban"), country), inverse)))
+            permuted = _long_digits_permuted(digits, key, F.concat(F.lit("iban"), country), inverse)
+            letters = lambda d: _letters_masked(_only(rest, "A-Z"), key, F.concat(country, F.lit("|"), digits if inverse else d), inverse)
+            new = let(permuted, lambda d: fill(fill(rest, d), letters(d), "[A-Z]"))
             check = lambda x: F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
             whole = let(new, lambda x: F.concat(country, check(x), x))
-            return F.when((_mod97(F.concat(rest, _part(s, 1, 4))) == 1) & (n >= 2), fill(m, whole, "[A-Z0-9]")).otherwise(m)
+            return F.when((_mod97(F.concat(rest, _part(s, 1, 4))) == 1) & (F.length(digits) >= 2), fill(m, whole, "[A-Z0-9]")).otherwise(m)
 
         return let(_only(rest, "0-9"), numbers)
 

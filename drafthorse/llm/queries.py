@@ -19,6 +19,8 @@ from .toxicity import held_out, score, train
 
 #: Stands for a key that a deployment reads from its secret store.
 DEMO_KEY = "drafthorse demonstration key"
+#: Target weights of the mixture; a source that is not named weighs 1.
+TARGETS = {"src0": 4.0, "src1": 2.5, "src2": 2.0, "src3": 1.5}
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +104,11 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix_sources(read_table(spark, sf_dir, "documents"), TARGETS, other=1.0)
 
 
 def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = kd_shards(read_table(spark, sf_dir, "documents"), levels=4)
+    out = kd_shards(read_table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

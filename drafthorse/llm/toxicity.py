@@ -5,12 +5,13 @@ embeddings of its byte n-grams (3 to 7, marked at either end of the word) and of
 `buckets`; a text's vector is the mean over its words; a linear softmax gives the score. A misspelling that was never
 seen shares most of its n-grams with the word.
 
-Training runs on the driver on a bounded sample: `per_class` labelled documents of either class, those of least
-hash, whatever the table's size. Once trained, embedding times weight is one number a bucket, so an executor scores a
+Training runs on the driver on a bounded sample: `per_class` labelled documents of either class with at most
+`most_bytes` each, those of least hash, whatever the table's size. Once trained, embedding times weight is one number a bucket, so an executor scores a
 text with a table of `buckets` floats, over every word of the whole text.
 
 Defined cases. Null or wordless texts score by the bias alone, which is trained to call them clean. Labels that are null or whose document is absent teach
-nothing; of several labels of one document the highest stands. With no label of one class the score is the share of
+nothing; of several labels of one document the highest stands, of several texts the least. Very long texts are scored
+whole. An extra column named `score` cannot be kept beside the score: ValueError. With no label of one class the score is the share of
 the other: 0 with no labels at all. Null ids are not held out. Repeated rows are scored alike. Other columns are not
 read. An empty table gives an empty result.
 """
@@ -37,6 +38,8 @@ SCALE = np.float32(100)
 EMPTY = 0.25
 GRAMS = (3, 4, 5, 6, 7)
 PER_CLASS = 800
+#: Longer texts are not taken for training, so what comes to the driver has a bound in bytes; they are scored whole.
+MOST_BYTES = 1 << 16
 INNER = np.zeros(256, bool)
 INNER[128:] = True
 for _a, _b in (("0", "9"), ("A", "Z"), ("a", "z")):
@@ -194,15 +197,16 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
     """A model of the labelled documents that are not held out; at most per_class of either class come to the driver."""
     x = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     x = x.groupBy("id").agg(F.max("y").alias("y")).filter(~held_out(F.col("id")))
     counts = {r["y"]: r["n"] for r in x.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [x.filter(F.col("y") > 0 if y else F.col("y") <= 0).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (False, True)]
     ids = docs.sparkSession.createDataFrame(some[0].unionByName(some[1]).collect(), "id long, y int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
-    table = texts.select("id", "text", "y").toArrow().sort_by("id")
+    fits = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    texts = fits.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    table = texts.toArrow().sort_by("id")
     total = sum(counts.values())
     model = fit(table.column("text").combine_chunks(), table.column("y").to_numpy() > 0, counts.get(True, 0) / total if total else 0.0)
     del table
@@ -220,13 +224,15 @@ def _give_back() -> None:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, score) of every row's whole text; the model is broadcast: `buckets` doubles."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weight))
+    """(id_col, *keep, score) of every row's whole text; the model goes out with the plan: `buckets` floats."""
+    if "score" in (id_col, *keep):
+        raise ValueError("a column named score cannot be kept")
+    bias, weight = model.bias, model.weight.astype(np.float32)
     own = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = Model(bias, weight.astype(np.float64))
         for b in batches:
             s = pa.array(m.score(b.column("__text")), pa.float64())
             yield pa.record_batch([*(b.column(n) for n in names), s], names=[*names, "score"])

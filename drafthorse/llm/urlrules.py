@@ -3,12 +3,13 @@
 A URL's expressions are the suffixes of its host at label borders, each with the prefixes of its path that are as
 long as some rule's path. Distinct (host, path) pairs are expanded once, joined to the rules on the first four bytes
 of the expression's SHA-256, confirmed on the whole digest, and the longest rule of a pair decides. The rules side
-is broadcast only while it has at most `broadcast_rules` rows; beyond that Spark shuffles it.
+is broadcast only while it has at most `broadcast_rules` rows; beyond that Spark shuffles it. A pair is dealt over
+`salts` keys by its rows' ids, so one very common URL is many tasks; rows without host or path join nothing.
 
 Defined cases. Null url or one without `://`: host and path are empty, no rule fits, the default verdict holds. A
 host's upper-case A-Z is lower-cased, nothing else is changed: a port or a user name is part of the host. Rows that
 repeat an id are judged row by row; a null id stays null. Of two rules with the same host and path a block stands.
-Other columns are not read. No rules: every verdict is the default. An empty table gives an empty result.
+Very long urls are expanded whole: as many suffixes as their host has labels. Other columns are not read. No rules: every verdict is the default. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.when(there, host).otherwise(""), F.when(there, path).otherwise("")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000, salts: int = 16) -> DataFrame:
     """(id_col, host, path, rule, verdict) for each row; rules are (verdict, host, path that begins with /)."""
     spark = pages.sparkSession
     if any(v not in ("allow", "block") or not h or not p.startswith("/") for v, h, p in rules):
@@ -49,7 +50,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     if len(rules) <= broadcast_rules:
         table = F.broadcast(table)
     lengths = F.array(*(F.lit(n) for n in sorted({len(p) for _, _, p in rules})))
-    pairs = judged.select("host", "path").filter("host <> '' and path <> ''").distinct()
+    salted = judged.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    open_ = F.expr("host <> '' and path <> ''")
+    pairs = salted.filter(open_).select("host", "path", "salt").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     expanded = (
@@ -59,8 +62,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     )
     hits = expanded.join(table, "short").filter("seen = digest")
     block = F.col("verdict") == "block"
-    won = hits.groupBy("host", "path").agg(F.max(F.struct("size", block.alias("block"), "rule", "verdict")).alias("w")).select("host", "path", "w.rule", "w.verdict")
-    return judged.join(won, ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    won = hits.groupBy("host", "path", "salt").agg(F.max(F.struct("size", block.alias("block"), "rule", "verdict")).alias("w")).select("host", "path", "salt", "w.rule", "w.verdict")
+    out = [id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")]
+    some = salted.filter(open_).join(won, ["host", "path", "salt"], "left").select(out)
+    none = judged.filter(~open_).select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return some.unionByName(none)
 
 
 def oracle_sql(rules: list[tuple[str, str, str]], default: str = "allow") -> str:

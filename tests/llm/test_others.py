@@ -11,25 +11,13 @@ from pyspark.sql import functions as F
 
 from drafthorse.llm import packing, toxicity, urlrules
 from drafthorse.llm.kdshard import kd_shards
-from drafthorse.llm.mixing import mix_sources, pfair, pfair_period, whole_parts
+from drafthorse.llm.mixing import mix_sources, pfair
 from drafthorse.llm.pseudonyms import feistel, pseudonymize
 
 
 # mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {f"s{i}": i + 1 for i in range(20)}, {"x": 0.333, "y": 0.6, "z": 0.067}])
-def test_pfair_deviation(weights):
-    parts = whole_parts(weights, 128)
-    assert sum(parts.values()) == 128 and min(parts.values()) >= 1
-    done = Counter()
-    for slot, (s, i) in enumerate(pfair_period(parts), 1):
-        assert i == done[s]
-        done[s] += 1
-        for t, c in parts.items():
-            assert abs(done[t] - slot * c / 128) < 1
-
-
 @pytest.mark.parametrize("weights", [{f"s{i}": (i + 1) ** 0.5 for i in range(20)}, {"x": 0.333, "y": 0.6, "z": 0.067}, {"a": 1.0, "b": 1e-5}])
 def test_deviation_from_the_given_weights_over_many_periods(weights):
     total = sum(map(Fraction, weights.values()))
@@ -71,6 +59,60 @@ def test_mixing_keeps_all_rows(spark):
         mix_sources(df, weights={"hot": 1.0})
 
 
+def brute_mix(rows, share, block_bytes):
+    """(id, source) in mixed order with block and slot, one source after the other and then slot by slot."""
+    import xxhash
+
+    def h(i, text):
+        x = xxhash.xxh64(b"mix", 42).intdigest()
+        x = x if i is None else xxhash.xxh64(i.to_bytes(8, "little", signed=True), x).intdigest()
+        x = x if text is None else xxhash.xxh64(text.encode(), x).intdigest()
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    runs, blocks = {}, {}
+    for s in {r[2] or "" for r in rows}:
+        own = [(h(r[0], r[1]), -1 if r[0] is None else r[0], len((r[1] or "").encode()) + 1, r) for r in rows if (r[2] or "") == s]
+        total = sum(o[2] for o in own)
+        chunks = max(1, -(-total // (64 * block_bytes)))
+        at, runs[s] = 0, {}
+        for o in sorted(own, key=lambda o: (o[0] % chunks, o[0], o[1])):
+            runs[s].setdefault(at // block_bytes, []).append(o[3])
+            at += o[2]
+        blocks[s] = -(-total // block_bytes)
+    out = []
+    for slot, (s, i) in enumerate(pfair(share, blocks)):
+        out += [(r[0], r[2], i, slot) for r in runs[s].get(i, ())]
+    return [(*o, k) for k, o in enumerate(out)]
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(None if i == 7 else i, None if i % 31 == 0 else "é" * rng.choice([0, 3, 40, 700]), rng.choice(["hot", "hot", "b", None, "c"])) for i in range(500)]
+    rows += rows[20:23]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = {"hot": 0.5, "b": 3.0, "": 1.0, "c": 0.0}
+    got = sorted((tuple(r) for r in mix_sources(df, share, block_bytes=300, period=8).collect()), key=lambda r: r[4])
+    assert got == brute_mix(rows, share, 300)
+
+
+def test_bytes_follow_the_weights(spark):
+    """20 texts of 1 MB against 20,000 of 1 kB: the running bytes stay within the longest text and a block."""
+    df = spark.range(20).select("id", F.repeat(F.lit("x"), F.lit(1_000_000)).alias("text"), F.lit("long").alias("source"))
+    df = df.unionByName(spark.range(20_000).select((F.col("id") + 100).alias("id"), F.repeat(F.lit("y"), F.lit(1000)).alias("text"), F.lit("short").alias("source")))
+    got = sorted(mix_sources(df, {"long": 1.0, "short": 1.0}, id_col="id").collect(), key=lambda r: r["position"])
+    done = Counter()
+    for r in got:
+        done[r["source"]] += 1_000_001 if r["source"] == "long" else 1001
+        if all(done[s] < n for s, n in (("long", 20 * 1_000_001), ("short", 20_000 * 1001))):
+            assert abs(done["long"] - done["short"]) < 1_000_001 + 2 * 65536
+
+
+def test_empty_texts_fill_blocks(spark):
+    df = spark.createDataFrame([(i, "" if i % 2 else None, "a") for i in range(3000)], "doc_id long, text string, source string")
+    got = mix_sources(df, {"a": 1.0}, block_bytes=100).collect()
+    assert Counter(r["block"] for r in got) == Counter({i: 100 for i in range(30)})
+
+
 # sharding
 
 
@@ -78,7 +120,7 @@ def test_kd_shards(spark):
     rng = random.Random(2)
     texts = ["x y\n" * rng.randint(0, 200) + str(i) for i in range(600)] + ["copy " * 50] * 40 + [None, "", ""]
     df = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)] + [(None, "null id", 0), (3, texts[3], 1)], "doc_id long, text string, size int")
-    got = kd_shards(df).collect()
+    got = kd_shards(df, shards=16).collect()
     assert len(got) == len(texts) + 2
     by = defaultdict(list)
     for r in got:
@@ -91,12 +133,59 @@ def test_kd_shards(spark):
         assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
         assert abs(sum(r["size"] for r in rows) - total / 16) < 0.35 * total / 16
     assert len({r["shard"] for r in got if r["doc_id"] is not None and 600 <= r["doc_id"] < 640}) == 1
-    assert kd_shards(df.limit(0)).count() == 0
+    assert kd_shards(df.limit(0), shards=16).count() == 0
+
+
+def brute_tree(points, levels, node=1):
+    """{row: leaf} of (row, dimensions, hash, size), cut by sorting."""
+    wide = [max(p[1][d] for p in points) - min(p[1][d] for p in points) for d in range(4)]
+
+    def cut(rows, deep, node):
+        if not rows:
+            return {}
+        if not deep:
+            return {r[0]: node for r in rows}
+        d = max(range(4), key=lambda d: (max(r[1][d] for r in rows) - min(r[1][d] for r in rows)) / max(1, wide[d]))
+        half, below, by = sum(r[3] for r in rows) / 2, 0, defaultdict(int)
+        for r in rows:
+            by[r[1][d], r[2]] += r[3]
+        for point in sorted(by):
+            if below + by[point] >= half:
+                break
+            below += by[point]
+        left = below + by[point] <= 2 * half - below
+        low = lambda r: (r[1][d], r[2]) < point or left and (r[1][d], r[2]) == point
+        return cut([r for r in rows if low(r)], deep - 1, 2 * node) | cut([r for r in rows if not low(r)], deep - 1, 2 * node + 1)
+
+    return cut(points, levels, node)
+
+
+def test_kd_against_brute_force(spark):
+    import math
+
+    import xxhash
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab é\n") for _ in range(rng.choice([0, 5, 30, 400]))) + rng.choice(["", str(i)]) for i in range(300)] + ["same é " * 9] * 30 + [None, "z" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scaled = lambda x: math.floor(min(max(x, 0.0), 1.0) * (1 << 20))
+    points = []
+    for i, t in enumerate(t or "" for t in texts):
+        size = len(t.encode()) + 1
+        share = lambda c: t.encode().count(c) + 1  # noqa: E731, B023
+        dims = (scaled(math.log(size) / math.log(2) / 40), scaled(share(b"\n") / size * 8), scaled(share(b" ") / size * 2), scaled((size - 1 - len(t)) / size))
+        points.append((i, dims, xxhash.xxh64(t.encode(), 42).intdigest() % (1 << 31), size))
+    got = kd_shards(df, shards=8).collect()
+    want = brute_tree(points, 3)
+    assert {r["doc_id"]: r["shard"] for r in got} == {i: n - 8 for i, n in want.items()}
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in range(8))
+    total = sum(p[3] for p in points)
+    assert {r["shard"] for r in kd_shards(df, target_bytes=-(-total // 8)).collect()} == {r["shard"] for r in got}
 
 
 def test_kd_all_equal(spark):
     df = spark.createDataFrame([(i, "same") for i in range(30)], "doc_id long, text string")
-    got = kd_shards(df).collect()
+    got = kd_shards(df, shards=16).collect()
     assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(30))
 
 
@@ -127,6 +216,10 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urlrules.judge_urls(df, [], default="block").collect()} == {"block"}
     assert Counter(tuple(r) for r in urlrules.judge_urls(df, rules, broadcast_rules=0).collect()) == got
+    many = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("http://www.example.com/en/x").alias("url"))
+    assert {tuple(r)[1:] for r in urlrules.judge_urls(many, urlrules.RULES).collect()} == {("www.example.com", "/en/x", "www.example.com/en/", "allow")}
+    long = [(1, "http://" + "a." * 3000 + "net/es/" + "b" * 100_000)]
+    assert urlrules.judge_urls(spark.createDataFrame(long, "page_id long, url string"), urlrules.RULES).first()["verdict"] == "block"
 
 
 # packing
@@ -167,6 +260,17 @@ def test_plan_equals_one_by_one_best_fit(seed):
     assert sorted(64 - sum(n for _, n in p) for p in room.values()) == brute_best_fit(lengths, 64)
 
 
+def test_ids_equal_those_of_tokenizers_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    files = packing.tokenizer_files()
+    exact, encode = Tokenizer.from_file(files[0]), packing._encoder(*files)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 1024):
+        for text in ("".join(points[i : i + 1024]), "a".join(points[i : i + 1024]), " ".join(points[i : i + 1024]), "\n 1".join(points[i : i + 1024])):
+            assert list(encode(text)) == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_documents(spark):
     from tokenizers import Tokenizer
 
@@ -219,7 +323,7 @@ TEXT = "card 4111 1111 1111 1111, 4111-1111-1111-1111 or 378282246310005; iban D
 
 
 def test_formats_and_round_trip(spark):
-    kept = "plain 4111111111111112 30.02.1999 1.2.3 12345678 999.1.1.1 000-12-3456 x@y version 2.0"
+    kept = "plain 4111111111111112 9807915762804490 30.02.1999 1.2.3 12345678 999.1.1.1 000-12-3456 x@y version 2.0"
     df = spark.createDataFrame([(1, TEXT, "t"), (2, TEXT + " again", "t"), (3, kept, "t"), (4, None, "t"), (5, "", "t"), (None, "a@b.org", "t")], "doc_id long, text string, n_values string")
     out = {r["doc_id"]: r for r in pseudonymize(df, "key").collect()}
     new = out[1]["text"]
@@ -286,6 +390,20 @@ def test_iban_before_short_groups(spark):
     assert {r["doc_id"]: r["text"] for r in back} == dict(enumerate(texts))
 
 
+def test_no_part_of_an_iban_stays(spark):
+    mod = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    make = lambda c, rest: f"{c}{98 - mod(f'{c}00{rest}'):02d}{rest}"
+    ibans = ["HU42117730161111101800000000", "GB82WEST12345698765432", make("MT", "MALT01100001234ABCDEFG12"), make("PL", "109010140000071219812874"), make("FR", "20041010050500013M02606")]
+    assert all(mod(i) == 1 for i in ibans)
+    df = spark.createDataFrame(list(enumerate(ibans)), "doc_id long, text string")
+    got = [r["text"] for r in pseudonymize(df, "key").orderBy("doc_id").collect()]
+    for old, new in zip(ibans, got, strict=True):
+        assert mod(new) == 1 and new[:2] == old[:2] and re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", old))
+        assert all(new[i : i + 5] != old[i : i + 5] for i in range(4, len(old) - 4))
+    back = pseudonymize(pseudonymize(df, "key").select("doc_id", "text"), "key", inverse=True).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == ibans
+
+
 # toxicity
 
 
