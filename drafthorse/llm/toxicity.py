@@ -40,6 +40,8 @@ GRAMS = (3, 4, 5, 6, 7)
 PER_CLASS = 800
 #: Longer texts are not taken for training, so what comes to the driver has a bound in bytes; they are scored whole.
 MOST_BYTES = 1 << 16
+#: Parts of the sample for calibration.
+FOLDS = 3
 INNER = np.zeros(256, bool)
 INNER[128:] = True
 for _a, _b in (("0", "9"), ("A", "Z"), ("a", "z")):
@@ -86,8 +88,8 @@ def _subwords(p: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -
     return (np.concatenate(found) & U64(buckets - 1)).astype(np.int64), np.concatenate(of)
 
 
-def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 120, rate: float = 0.02, decay: float = 1e-5, sparse: float = 1e-4, least: int = 4, seed: int = 5) -> Model:
-    """Train on texts and 0/1 labels, classes weighted alike; a fifth is set apart to calibrate the scores to the classes' prior."""
+def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 120, rate: float = 0.02, decay: float = 1e-7, sparse: float = 2e-5, least: int = 4, seed: int = 5) -> Model:
+    """Train on texts and 0/1 labels, classes weighted alike; models of all parts but one calibrate the scores to the classes' prior."""
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
@@ -136,44 +138,55 @@ def fit(column: pa.Array, toxic: np.ndarray, prior: float, buckets: int = BUCKET
     word_cut, feature_cut, doc_cut, share_cut = cuts(of), cuts(feature[back]), cuts(doc), cuts(word[by_word])
     seen, of_back, doc_by_word, share_by_word = doc[doc_cut], of[back], doc[by_word], share[by_word]
     y = toxic.astype(np.float32)
-    apart = np.arange(rows) % 5 == 4  # for the calibration below
-    if rows < 50 or not (toxic & ~apart).any() or not (~toxic & ~apart).any() or not (toxic & apart).any() or not (~toxic & apart).any():
-        apart[:] = False
-    cost = np.where(toxic, 0.5 / (toxic & ~apart).sum(), 0.5 / (~toxic & ~apart).sum()).astype(np.float32)
-    cost[apart] = 0
+    some = min(int(toxic.sum()), int((~toxic).sum())) >= 2 * FOLDS
+    place = np.empty(rows, np.int64)
+    for side in (toxic, ~toxic):
+        place[side] = np.arange(side.sum()) % FOLDS
 
     def to_features(per_text: np.ndarray, power: int = 1) -> np.ndarray:
         per_word = np.add.reduceat(per_text[doc_by_word] * share_by_word**power, share_cut) / grams**power
         return np.add.reduceat(per_word[of_back], feature_cut)
 
-    # steps are scaled by each feature's curvature and `decay`: what is in most texts does not swing, and what is in
-    # few texts moves little, so single texts are not learnt by heart
-    curve = 0.25 * SCALE**2 * (to_features(cost, 2) + to_features(cost) ** 2) + decay
-    rng = np.random.default_rng(seed)
-    e = rng.uniform(-0.01, 0.01, (len(used), dim)).astype(np.float32)
-    w, b = (rng.choice(np.array([-1, 1], np.float32), dim) / np.sqrt(dim)).astype(np.float32), np.float32(0)
-    speed = [np.zeros_like(e), np.zeros_like(w), np.float32(0)]
-    for _ in range(epochs):
-        # the gradient of an embedding lies along w: sums over words and texts need only the product of the two
-        theta = e @ w
-        v = np.add.reduceat(theta[feature], word_cut) / grams
-        z = np.full(rows, b, np.float32)
-        z[seen] += SCALE * np.add.reduceat(v[word] * share, doc_cut)
-        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * cost
-        gt = SCALE * to_features(g) + decay * theta
-        for k, step in enumerate((rate * (gt / curve)[:, None] * w, 0.1 * rate * (gt @ e), rate * (g.sum() + EMPTY / (1 + np.exp(-b))))):
-            speed[k] = np.float32(0.9) * speed[k] - np.float32(step) if k == 2 else np.float32(0.9) * speed[k] - step.astype(np.float32)
-        e, w, b = e + speed[0], w + speed[1], np.float32(b + speed[2])
-        # features without steady evidence go to zero as a whole
-        norm = np.sqrt(np.square(e).sum(axis=1)) + np.float32(1e-12)
-        e *= np.maximum(0, 1 - 10 * rate * sparse / curve / norm)[:, None].astype(np.float32)
+    def trained(inside: np.ndarray) -> tuple[np.ndarray, np.float32]:
+        """(weight of each feature, bias) from the texts inside."""
+        cost = np.zeros(rows, np.float32)
+        for side in (toxic & inside, ~toxic & inside):
+            cost[side] = 0.5 / side.sum()
+        # steps are scaled by each feature's curvature and `decay`: what is in most texts does not swing, and what is
+        # in few texts moves little, so single texts are not learnt by heart
+        curve = 0.25 * SCALE**2 * (to_features(cost, 2) + to_features(cost) ** 2) + decay
+        rng = np.random.default_rng(seed)
+        e = rng.uniform(-0.01, 0.01, (len(used), dim)).astype(np.float32)
+        w, b = (rng.choice(np.array([-1, 1], np.float32), dim) / np.sqrt(dim)).astype(np.float32), np.float32(0)
+        speed = [np.zeros_like(e), np.zeros_like(w), np.float32(0)]
+        for _ in range(epochs):
+            # the gradient of an embedding lies along w: sums over words and texts need only the product of the two
+            theta = e @ w
+            g = (1 / (1 + np.exp(-np.clip(sums_of(theta) + b, -60, 60))) - y) * cost
+            gt = SCALE * to_features(g) + decay * theta
+            for k, step in enumerate((rate * (gt / curve)[:, None] * w, 0.1 * rate * (gt @ e), rate * (g.sum() + EMPTY / (1 + np.exp(-b))))):
+                speed[k] = np.float32(0.9) * speed[k] - np.float32(step) if k == 2 else np.float32(0.9) * speed[k] - step.astype(np.float32)
+            e, w, b = e + speed[0], w + speed[1], np.float32(b + speed[2])
+            # features without steady evidence go to zero as a whole
+            norm = np.sqrt(np.square(e).sum(axis=1)) + np.float32(1e-12)
+            e *= np.maximum(0, 1 - 10 * rate * sparse / curve / norm)[:, None].astype(np.float32)
+        return e @ w, b
+
+    def sums_of(theta: np.ndarray) -> np.ndarray:
+        """SCALE times the mean over a text's words of the mean over the word's features."""
+        z = np.zeros(rows, np.float32)
+        z[seen] = SCALE * np.add.reduceat((np.add.reduceat(theta[feature], word_cut) / grams)[word] * share, doc_cut)
+        return z
+
+    theta, bias = trained(np.ones(rows, bool))
+    # the scores are calibrated on sums of texts that their model has not seen
+    z = sums_of(theta)
+    if some:
+        for k in range(FOLDS):
+            z[place == k] = sums_of(trained(place != k)[0])[place == k]
     weight = np.zeros(buckets)
-    weight[used] = SCALE * (e @ w)
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    z = np.zeros(rows)
-    z[seen] = SCALE * np.add.reduceat((np.add.reduceat((e @ w)[feature], word_cut) / grams)[word] * share, doc_cut)
-    apart = apart if apart.any() else np.ones(rows, bool)
-    return _calibrated(Model(float(b), weight), z[apart], toxic[apart], prior)
+    weight[used] = SCALE * theta
+    return _calibrated(Model(float(bias), weight), z, toxic, min(max(prior, 1e-6), 1 - 1e-6))
 
 
 def _calibrated(model: Model, z: np.ndarray, toxic: np.ndarray, prior: float) -> Model:
