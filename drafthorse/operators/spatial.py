@@ -15,29 +15,29 @@ def named(df: DataFrame, prefix: str, keys: tuple[str, ...] = ("page",)) -> Data
 
 
 def box_join(left: DataFrame, right: DataFrame, tol: float = 0.0, test: Column | None = None, keys: tuple[str, ...] = ("page",), cell: float = CELL, how: str = "inner") -> DataFrame:
-    """Pairs l_*, r_* on equal keys whose axis gaps are at most tol and that pass `test`.
+    """Pairs l_*, r_* on equal keys whose axis gaps are at most tol and that pass `test`; how: inner, left_semi or left_anti.
 
-    Both sides are filed under the bands of `cell` height they touch; a pair is taken in its first common band only,
-    so no distinct is needed, and a dense page is many keys, not one. how: inner, left_semi or left_anti.
+    A left row is filed under the one band of `cell` height in which it begins, a right row under all bands in which a
+    left row of its page that it can meet may begin; how far up these go is the height of the page's tallest left row. So
+    a pair is met once, a dense page (whose rows are low) is many keys, and semi and anti joins need no distinct and no
+    second join. Left rows without a box meet nothing.
     """
     band = lambda v: F.floor(v / cell).cast("int")
     a, b = named(left, "l", keys), named(right, "r", keys)
-    low = band(F.col("l_y0") - tol)
-    a = a.withColumn("__band", F.explode(F.sequence(low, F.greatest(low, band(F.col("l_y1") + tol)))))
-    first = band(F.col("r_y0"))
-    b = b.withColumn("__first", first).withColumn("__band", F.explode(F.sequence(first, F.greatest(first, band(F.col("r_y1"))))))
-    l, r = Box("l"), Box("r")
-    pairs = a.join(b, [*keys, "__band"]).filter((F.col("__band") == F.greatest(band(l.y0 - tol), F.col("__first"))) & (gap(l, r) <= tol))
-    pairs = (pairs.filter(test) if test is not None else pairs).drop("__band", "__first")
+    tall = left.groupBy(*keys).agg(F.max(F.greatest(F.col("y1") - F.col("y0"), F.lit(0.0))).alias("__tall"))
+    a = a.withColumn("__band", band(F.col("l_y0")))
+    low, high = band(F.col("r_y0") - tol - F.col("__tall")), band(F.greatest("r_y0", "r_y1") + tol)
+    b = b.join(tall, list(keys)).withColumn("__band", F.explode(F.sequence(low, high))).drop("__tall")
+    near = gap(Box("l"), Box("r")) <= tol
+    near = near & test if test is not None else near
     if how == "inner":
-        return pairs
+        return a.join(b, [*keys, "__band"]).filter(near).drop("__band")
+    on = near & (F.col("a.__band") == F.col("b.__band"))
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     own = [c for c in left.columns if c not in keys]
-    hit = pairs.select(*keys, *(F.col(f"l_{c}").alias(c) for c in own)).distinct()
-    on = [left[c].eqNullSafe(hit[c]) for c in (*keys, *own)]
-    test_ = on[0]
-    for o in on[1:]:
-        test_ = test_ & o
-    return left.join(hit, test_, how)
+    hit = a.alias("a").join(b.alias("b"), on, how)
+    return hit.select(*keys, *(F.col(f"l_{c}").alias(c) for c in own)).select(*left.columns)
 
 
 def argmin_join(pairs: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -65,17 +65,32 @@ class Views:
         kind = F.when(F.col("page") % 3 == 0, "plan").when(F.col("page") % 3 == 1, "elevation").otherwise("section")
         return self.groups.filter("kind = 'view'").select("page", "group_index", kind.alias("view_type"))
 
+    def _placed(self, page, pos, line, n) -> list:
+        """Box of a line, as in `boxes`."""
+        x = _d(10) * ((page + pos) % 7)
+        return [(_d(1000) * pos / n).alias("y0"), x.alias("x0"), (_d(1000) * (pos + _d(0.75)) / n).alias("y1"), (x + _d(1) + F.length(line) % 900).alias("x1")]
+
+    def _items(self) -> tuple[DataFrame, F.Column]:
+        """(documents with parts, their lines that are not empty, in order): numbered inside the row, without a shuffle."""
+        x = self.table("documents").select(F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("parts"))
+        full = F.filter(F.transform("parts", lambda line, i: F.struct(i.alias("pos"), line.alias("line"))), lambda s: F.length(s["line"]) > 0)
+        return x.withColumn("n", F.size("parts")), full
+
     @cached_property
     def items(self) -> DataFrame:
-        idx = (F.row_number().over(Window.partitionBy("page").orderBy("pos")) - 1).cast("int")
-        return self.boxes.select("page", idx.alias("idx"), "pos", F.col("line").alias("text"), "y0", "x0", "y1", "x1")
+        x, full = self._items()
+        x = x.select("page", "n", F.posexplode(full).alias("idx", "s")).select("page", "n", "idx", "s.pos", "s.line")
+        return x.select("page", "idx", "pos", F.col("line").alias("text"), *self._placed(F.col("page"), F.col("pos"), F.col("line"), F.col("n")))
 
     @cached_property
     def symbols(self) -> DataFrame:
+        x, full = self._items()
+        some = F.filter(F.transform(full, lambda s, i: F.struct(i.alias("idx"), s["pos"].alias("pos"), s["line"].alias("line"))), lambda s: (F.col("page") * 3 + s["idx"] * 5) % 11 < 2)
+        x = x.select("page", "n", F.posexplode(some).alias("symbol_index", "s")).select("page", "n", "symbol_index", "s.idx", "s.pos", "s.line")
+        x = x.select("page", "symbol_index", "idx", *self._placed(F.col("page"), F.col("pos"), F.col("line"), F.col("n")))
         page, idx = F.col("page"), F.col("idx")
-        number = (F.row_number().over(Window.partitionBy("page").orderBy("idx")) - 1).cast("int")
-        return self.items.filter((page * 3 + idx * 5) % 11 < 2).select(
-            "page", number.alias("symbol_index"), idx.alias("text_index"), F.when(idx % 2 == 0, "shape").otherwise("line").alias("category"),
+        return x.select(
+            "page", "symbol_index", idx.alias("text_index"), F.when(idx % 2 == 0, "shape").otherwise("line").alias("category"),
             ((page + idx) % 5).cast("int").alias("claimed_group_index"), "y0", "y1", "x0", (F.col("x0") + _d(12)).alias("x1"),
         )
 
