@@ -15,7 +15,12 @@ def _points(g: pd.DataFrame) -> np.ndarray:
     return g.sort_values("k")[["x", "y"]].to_numpy()
 
 
-@query("w11_greedy_disjoint")
+@query("w11_greedy_disjoint", """
+with recursive m as (select page, symbol_index as match, list_transform(range(0, symbol_index % 4 + 1), lambda i: text_index + i) as members from symbols),
+o as (select *, row_number() over (partition by page order by len(members) desc, match) as rn from m),
+w(page, match, rn, kept, used) as (select page, match, rn, true, members from o where rn = 1
+  union all select o.page, o.match, o.rn, not list_has_any(o.members, w.used), case when list_has_any(o.members, w.used) then w.used else list_concat(w.used, o.members) end from w join o on o.page = w.page and o.rn = w.rn + 1)
+select page, match, kept from w""", ("symbols",))
 def w11(v):
     """Matches are symbols, their members the items within four indices; larger matches first."""
     m = v.symbols.select("page", F.col("symbol_index").alias("match"), F.sequence(F.col("text_index"), F.col("text_index") + F.col("symbol_index") % 4).alias("members"))
@@ -26,7 +31,15 @@ def w11(v):
     return m.groupBy("page").applyInPandas(run, "page long, match int, kept boolean")
 
 
-@query("w14_complete_link")
+@query("w14_complete_link", """
+with recursive r as (select grp, op_index as key, round(sqrt(avg(x * x + y * y)), 9) as value, row_number() over (partition by grp order by op_index) as rn from ops group by grp, op_index),
+w(grp, key, rn, family, lo, hi) as (select grp, key, rn, cast(0 as int), [value], [value] from r where rn = 1
+  union all select p.grp, p.key, p.rn, cast(p.at_ - 1 as int),
+    case when p.at_ > len(p.lo) then list_append(p.lo, p.value) else list_transform(p.lo, lambda x, i: case when i = p.at_ then least(x, p.value) else x end) end,
+    case when p.at_ > len(p.hi) then list_append(p.hi, p.value) else list_transform(p.hi, lambda x, i: case when i = p.at_ then greatest(x, p.value) else x end) end
+  from (select q.*, case when coalesce(list_min(q.spread), 1) <= cast(0.05 as double) then list_position(q.spread, list_min(q.spread)) else len(q.lo) + 1 end as at_
+    from (select r.grp, r.key, r.rn, r.value, w.lo, w.hi, list_transform(range(1, len(w.lo) + 1), lambda i: greatest(w.hi[i], r.value) - least(w.lo[i], r.value)) as spread from w join r on r.grp = w.grp and r.rn = w.rn + 1) q) p)
+select grp, key, family from w""", ("ops",))
 def w14(v):
     """Operations of a group by their radius: families of a spread of 0.05 at most."""
     size = F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
@@ -38,7 +51,20 @@ def w14(v):
     return rows.groupBy("grp").applyInPandas(run, "grp int, key long, family int")
 
 
-@query("w16_spine")
+@query("w16_spine", """
+with recursive p as (select op_index, k as i, x, y from ops),
+e as (select a.op_index, a.i, b.i as j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d from p a join p b on a.op_index = b.op_index and a.i <> b.i),
+prim(op_index, step, tree, link) as (select distinct op_index, 0, [0], cast([] as struct(a int, b int)[]) from p
+  union all select op_index, step + 1, list_append(tree, j), list_append(link, {'a': i, 'b': j}) from (
+    select t.op_index, t.step, t.tree, t.link, arg_min(e.i, (e.d, e.j, list_position(t.tree, e.i))) as i, arg_min(e.j, (e.d, e.j, list_position(t.tree, e.i))) as j
+    from prim t join e on e.op_index = t.op_index and list_contains(t.tree, e.i) and not list_contains(t.tree, e.j) where t.step < 31 group by 1, 2, 3, 4)),
+mst as (select op_index, unnest(link, recursive := true) from prim where step = 31),
+both_ as (select op_index, a, b from mst union all select op_index, b, a from mst),
+way(op_index, one, two, via, n, len) as (select op_index, i, i, -1, 1, cast(0 as double) from p
+  union all select w.op_index, w.one, m.b, w.two, w.n + 1, w.len + sqrt((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y))
+  from way w join both_ m on m.op_index = w.op_index and m.a = w.two and m.b <> w.via join p s on s.op_index = w.op_index and s.i = m.a join p t on t.op_index = w.op_index and t.i = m.b),
+far as (select op_index, arg_max(n, (round(len, 9), -least(one, two))) as points, arg_max(least(one, two), (round(len, 9), -least(one, two))) as first, arg_max(greatest(one, two), (round(len, 9), -least(one, two))) as last from way group by op_index)
+select op_index, points, cast(first as int) as first, cast(last as int) as last from far""", ("ops",))
 def w16(v):
     """The longest path of the spanning tree of an operation's points: how many points, and its ends."""
 
@@ -50,7 +76,12 @@ def w16(v):
     return v.ops.groupBy("op_index").applyInPandas(run, "op_index long, points int, first int, last int")
 
 
-@query("w17_carrier_paths")
+@query("w17_carrier_paths", """
+with recursive p as (select op_index, k as i, x, y from ops),
+e as (select a.op_index, a.i, b.i as j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as w from p a join p b on a.op_index = b.op_index and a.i <> b.i where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= cast(0.3 as double)),
+best(op_index, at_, d, n, step) as (select distinct op_index, 0, cast(0 as double), 1, 0 from p
+  union all select op_index, at_, min(d), arg_min(n, d), step + 1 from (select op_index, at_, d, n, step from best where step < 31 union all select b.op_index, e.j, b.d + e.w, b.n + 1, b.step from best b join e on e.op_index = b.op_index and e.i = b.at_ where b.step < 31) group by op_index, at_, step)
+select o.op_index, round(b.d, 9) as length, coalesce(b.n, 0) as nodes from (select distinct op_index from p) o left join best b on b.op_index = o.op_index and b.at_ = 31 and b.step = 31""", ("ops",))
 def w17(v):
     """Shortest path from the first to the last point over links of points at most 0.3 apart."""
 
@@ -64,7 +95,17 @@ def w17(v):
     return v.ops.groupBy("op_index").applyInPandas(run, "op_index long, length double, nodes int")
 
 
-@query("x10_simplify")
+@query("x10_simplify", """
+with recursive p as (select op_index, k, x, y from ops),
+cut(op_index, lo, hi) as (select op_index, 0, 31 from (select distinct op_index from p)
+  union all select op_index, unnest([lo, at_]), unnest([at_, hi]) from (
+    select op_index, lo, hi, arg_max(k, (off, -k)) as at_, max(off) as most from (
+      select op_index, lo, hi, k, (rx - t * dx) * (rx - t * dx) + (ry - t * dy) * (ry - t * dy) as off from (
+        select c.op_index, c.lo, c.hi, m.k, m.x - a.x as rx, m.y - a.y as ry, b.x - a.x as dx, b.y - a.y as dy,
+          case when (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) > 1e-12 then least(1, greatest(0, ((m.x - a.x) * (b.x - a.x) + (m.y - a.y) * (b.y - a.y)) / ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))) else 0 end as t
+        from cut c join p a on a.op_index = c.op_index and a.k = c.lo join p b on b.op_index = c.op_index and b.k = c.hi join p m on m.op_index = c.op_index and m.k > c.lo and m.k < c.hi))
+    group by op_index, lo, hi having max(off) > cast(0.01 as double)))
+select op_index, cast(count(distinct lo) + 1 as int) as kept from cut group by op_index""", ("ops",))
 def x10(v):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         keep = linetypes.simplify(_points(g), 0.1)
@@ -74,18 +115,13 @@ def x10(v):
 
 
 @query("w13_motif_clusters", """
-with f as (select op_index, grp, sqrt(avg(x * x + y * y)) as r, max(x) - min(x) as w, max(y) - min(y) as h from ops group by 1, 2),
-b as (select op_index, cast(floor(ln(r) / ln(1.3)) as int) as band, cast(floor(w / h / 0.2) as int) as aspect from f)
-select band, aspect, count(*) as support, min(op_index) as first from b group by 1, 2 having count(*) >= 3""", ("ops",))
+with recursive f as (select op_index, ln(sqrt(avg(x * x + y * y))) / ln(cast(1.3 as double)) as u, (max(x) - min(x)) / nullif(max(y) - min(y), 0) / cast(0.2 as double) as v from ops group by op_index),
+e as (select a.op_index as a, b.op_index as b from f a join f b on a.op_index <> b.op_index and abs(a.u - b.u) <= 1 and abs(a.v - b.v) <= 1),
+lab(node, l, step) as (select op_index, op_index, 0 from f
+  union all select node, min(l), step + 1 from (select node, l, step from lab where step < 40 union all select e.a, lab.l, lab.step from lab join e on e.b = lab.node where lab.step < 40) group by node, step)
+select l as first, count(*) as support from lab where step = 40 group by l having count(*) >= 3""", ("ops",))
 def w13(v):
-    f = v.ops.groupBy("op_index", "grp").agg(F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("r"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
-    b = f.select("op_index", F.floor(F.log("r") / F.log(F.lit(1.3))).cast("int").alias("band"), F.floor(F.col("w") / F.col("h") / 0.2).cast("int").alias("aspect"))
-    return b.groupBy("band", "aspect").agg(F.count(F.lit(1)).alias("support"), F.min("op_index").alias("first")).filter("support >= 3")
-
-
-@query("w13_matching_motifs")
-def w13_matching(v):
-    """Union-find over matching fingerprints; w13_motif_clusters and its SQL count cells."""
+    """Union-find over matching fingerprints."""
     f = v.ops.groupBy("op_index").agg(F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("scale"), ((F.max("x") - F.min("x")) / F.nullif(F.max("y") - F.min("y"), F.lit(0.0))).alias("aspect"))
     return linetypes.motif_clusters(f)
 
@@ -113,23 +149,11 @@ def j20(v):
 
 
 @query("j17_endpoint_walk", """
-with recursive e as (select distinct l_suppkey as a, l_partkey % 100 + 1 as b from lineitem where l_linenumber = 1 and l_quantity >= 45),
-walk(start, at_, depth) as (select distinct a, a, 0 from e where a % 10 = 0 union select w.start, e.b, w.depth + 1 from walk w join e on w.at_ = e.a where w.depth < 4)
+with recursive e as (select distinct l_suppkey as a, l_partkey % 100 + 1 as b from lineitem),
+walk(start, at_, depth) as (select distinct a, a, 0 from e union select w.start, e.b, w.depth + 1 from walk w join e on w.at_ = e.a where w.depth < 7)
 select start, at_ as at, cast(min(depth) as int) as depth from walk group by 1, 2""")
 def j17(v):
-    """Places reached from a start in at most four steps: one join a step, each place kept at its least depth."""
-    e = v.table("lineitem").filter("l_linenumber = 1 and l_quantity >= 45").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")).distinct()
-    front = e.filter("a % 10 = 0").select(F.col("a").alias("start"), F.col("a").alias("at")).distinct()
-    seen = front.withColumn("depth", F.lit(0))
-    for depth in range(1, 5):
-        front = front.join(e, front["at"] == e["a"]).select("start", F.col("b").alias("at")).distinct().join(seen.select("start", "at"), ["start", "at"], "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
-    return seen
-
-
-@query("j17_whole_walk")
-def j17_whole(v):
-    """Seven steps from every start over all rows; j17_endpoint_walk and its SQL take a part of them."""
+    """Seven steps from every start over all rows."""
     e = materialize(v.table("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")).distinct())
     return linetypes.endpoint_walk(e, e.select(F.col("a").alias("start")), 7)
 
@@ -146,19 +170,12 @@ def r14(v):
 
 
 @query("r20_contour_signature", """
-with s as (select op_index, k, cast(floor(x * 4) as int) as t from ops where k < 8), r as (select s.op_index, o.o, string_agg(cast(s2.t as varchar), ',' order by (s2.k - o.o + 8) % 8) as sig from (select distinct op_index from s) s cross join (select unnest(range(8)) as o) o join s s2 on s2.op_index = s.op_index group by 1, 2)
+with s as (select op_index, list(cast(floor(x * 4) as int) || ' ' || cast(floor(y * 4) as int) order by k) as t from ops group by op_index),
+b as (select op_index, t from s union all select op_index, list_reverse(t) from s),
+r as (select op_index, array_to_string(list_concat(t[o + 1:], t[:o]), ',') as sig from (select op_index, t, unnest(range(0, len(t))) as o from b))
 select op_index, min(sig) as sig from r group by op_index""", ("ops",))
 def r20(v):
-    """The least of a contour's rotations: the same wherever it begins."""
-    s = v.ops.filter("k < 8").groupBy("op_index").agg(F.array_sort(F.collect_list(F.struct("k", F.floor(F.col("x") * 4).cast("int").cast("string").alias("t")))).alias("s"))
-    t = F.transform("s", lambda p: p["t"])
-    turns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda o: F.array_join(F.concat(F.slice(t, o + 1, F.lit(8)), F.slice(t, F.lit(1), o)), ","))
-    return s.select("op_index", F.array_min(turns).alias("sig"))
-
-
-@query("r20_whole_contour")
-def r20_whole(v):
-    """All points with both coordinates, drawn either way; r20_contour_signature and its SQL read the first eight x alone."""
+    """All points with both coordinates, drawn either way: the same wherever a contour begins."""
     return linetypes.contour_signatures(v.ops)
 
 

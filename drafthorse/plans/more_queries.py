@@ -37,7 +37,14 @@ def w15(v):
     return rows.groupBy("grp").applyInPandas(run, "grp int, key long, family int")
 
 
-@query("w18_discovery")
+@query("w18_discovery", """
+with recursive a as (select l_orderkey % 20 as grp, l_partkey as atom, list(distinct l_suppkey % 10) as motifs from lineitem group by 1, 2),
+t(grp, turn, taken) as (select distinct grp, 0, cast([] as bigint[]) from a
+  union all select t.grp, t.turn + 1, list_append(t.taken, b.motif) from t, lateral (
+    select motif from (select unnest(a.motifs) as motif from a where a.grp = t.grp and not list_has_any(a.motifs, t.taken)) group by motif having count(*) >= 3 order by count(*) desc, motif limit 1) b),
+w as (select grp, arg_max(taken, turn) as taken from t group by grp),
+h as (select a.grp, a.atom, list_filter(w.taken, lambda m: list_contains(a.motifs, m)) as hit, w.taken from a join w on a.grp = w.grp)
+select grp, atom, hit[1] as motif, cast(list_position(taken, hit[1]) - 1 as int) as turn from h where len(hit) > 0""")
 def w18(v):
     a = v.table("lineitem").groupBy((F.col("l_orderkey") % 20).alias("grp"), F.col("l_partkey").alias("atom")).agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 10)).alias("motifs"))
 

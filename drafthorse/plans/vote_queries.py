@@ -322,40 +322,24 @@ def w10(v):
 
 
 @query("w12_connected_runs", """
-with recursive t as (select distinct l_suppkey as a, l_partkey + 1000000 as b from lineitem where l_quantity >= 49 and l_linenumber = 1), e as (select a, b from t union all select b as a, a as b from t),
-reach(node, to_) as (select a, a from e union select r.node, e.b from reach r join e on r.to_ = e.a) , c as (select node, min(to_) as least from reach group by node)
-select node as op_index, least from c""")
+with recursive t as (select distinct l_suppkey as a, l_partkey + 1000000 as b from lineitem), e as (select a, b from t union all select b, a from t),
+lab(node, l, step) as (select distinct a, a, 0 from e
+  union all select node, min(l), step + 1 from (select node, l, step from lab where step < 24 union all select e.a, lab.l, lab.step from lab join e on e.b = lab.node where lab.step < 24) group by node, step)
+select node as op_index, l as least from lab where step = 24""")
 def w12(v):
     from ..operators.graph import connected_components
 
-    e = v.table("lineitem").filter("l_quantity >= 49 and l_linenumber = 1").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
+    e = v.table("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
     return connected_components(e, "a", "b").select(F.col("node").alias("op_index"), F.col("component").alias("least"))
 
 
 @query("w12_run_numbers", """
-with recursive s as (select p_partkey as op_index, p_size as page from part where p_size <= 10), t as (select a.op_index as a, b.op_index as b from s a join s b on a.page = b.page and b.op_index > a.op_index and b.op_index - a.op_index <= 40),
-e as (select a, b from t union all select b as a, a as b from t), reach(node, to_) as (select op_index, op_index from s union select r.node, e.b from reach r join e on r.to_ = e.a), c as (select node, min(to_) as least from reach group by node),
-z as (select s.page, c.least, count(*) as n from s join c on s.op_index = c.node group by 1, 2), k as (select page, least, n, cast(row_number() over (partition by page order by n desc, least) - 1 as int) as run from z)
-select s.page, s.op_index, k.run, k.n from s join c on s.op_index = c.node join k on k.page = s.page and k.least = c.least""")
+with s as (select p_partkey as op_index, p_size as page from part), b as (select *, case when op_index - lag(op_index) over (partition by page order by op_index) <= 40 then 0 else 1 end as brk from s),
+c as (select *, sum(brk) over (partition by page order by op_index) as c from b), z as (select page, c, min(op_index) as least, count(*) as n from c group by 1, 2),
+k as (select *, cast(row_number() over (partition by page order by n desc, least) - 1 as int) as run from z)
+select c.page, c.op_index, k.run, k.n from c join k on k.page = c.page and k.c = c.c""")
 def w12b(v):
-    s = v.table("part").filter("p_size <= 10").select(F.col("p_partkey").alias("op_index"), F.col("p_size").alias("page"))
-    w = Window.partitionBy("page").orderBy("op_index")
-    t = s.select(F.col("op_index").alias("b"), F.lag("op_index").over(w).alias("a")).filter("b - a <= 40")
-    return linetypes.runs(t, s)
-
-
-@query("w12_all_connected_runs")
-def w12_all(v):
-    """Over all rows; w12_connected_runs and its recursive SQL take a part of them."""
-    from ..operators.graph import connected_components
-
-    e = v.table("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
-    return connected_components(e, "a", "b").select(F.col("node").alias("op_index"), F.col("component").alias("least"))
-
-
-@query("w12_all_run_numbers")
-def w12b_all(v):
-    """Over all parts; w12_run_numbers and its recursive SQL take a part of them."""
+    """Parts of a page at most 40 apart touch."""
     s = v.table("part").select(F.col("p_partkey").alias("op_index"), F.col("p_size").alias("page"))
     w = Window.partitionBy("page").orderBy("op_index")
     t = s.select(F.col("op_index").alias("b"), F.lag("op_index").over(w).alias("a")).filter("b - a <= 40")
