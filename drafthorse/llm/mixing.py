@@ -112,9 +112,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, other:
     """
     spark = docs.sparkSession
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
+    # md5, so that SQL elsewhere can say the same
+    digest = F.md5(F.concat_ws("|", F.lit("mix"), F.col(id_col).cast("string"), F.col(text_col)))
     rows = materialize(docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(source_col).alias("named"),
-        size.alias("size"), F.xxhash64(F.lit("mix"), id_col, text_col).alias("h"),
+        size.alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"),
     ))
     sizes = {r["src"]: r["w"] for r in rows.groupBy("src").agg(F.sum("size").alias("w")).collect()}
     if not sizes:

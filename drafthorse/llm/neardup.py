@@ -40,6 +40,8 @@ SMALL = 12
 ROWS = 2
 VALUES = 2 * SMALL * ROWS
 TILE = 1024
+#: Parts that the copies of one set are dealt to.
+COPY_PARTS = 64
 _rng = np.random.default_rng(77003)
 _MUL = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * U64(2) + U64(1)
 _XOR = _rng.integers(1, 2**63, VALUES, dtype=np.uint64)
@@ -157,7 +159,8 @@ def prefix_clusters(sets: DataFrame, percent: int) -> DataFrame:
     """
     n = F.size("grams")
     length = (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int")
-    grams = sets.select("id", F.xxhash64("grams").alias("k"), length.alias("length"), n.alias("n"), F.explode("grams").alias("g"))
+    sized = sets.select("id", F.xxhash64("grams").alias("k"), length.alias("length"), n.alias("n"), "grams")
+    grams = sized.select("id", "k", "length", "n", F.explode("grams").alias("g"))  # apart, or k is worked out for each shingle
     common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("id", "k")
     place = F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count(F.lit(1)).over(own)
@@ -172,15 +175,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links join documents whose sets have similarity >= percent / 100; component_id is the smallest id that links
     reach, kept marks the one document of a component that has it. n_links counts the links that were confirmed on
-    the way there (copies of one set count as linked to the first of them).
+    the way there (copies of one set are linked in a tree of two levels).
     """
     all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     x = all_rows.filter("id is not null")
     rows = materialize(all_rows.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, sig binary"))
     full = rows.filter("n > 0 and id is not null")
-    first = full.groupBy("d1", "d2").agg(F.min("id").alias("first"))
-    same = full.select("id", "d1", "d2").join(first, ["d1", "d2"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    sets_of = full.join(first, ["d1", "d2"]).filter("id = first").select("id", "d1", "d2", "sig").dropDuplicates(["id", "d1", "d2"])
+    # a set's copies hang on the first of their part, the parts' firsts on the first of all: no key holds all copies
+    digest = ["d1", "d2"]
+    parted = full.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(COPY_PARTS)))
+    near = materialize(parted.groupBy(*digest, "part").agg(F.min("id").alias("near")))
+    first = near.groupBy(*digest).agg(F.min("near").alias("first"))
+    same = parted.join(near, [*digest, "part"]).select(F.col("near").alias("a"), F.col("id").alias("b"))
+    same = same.unionByName(near.join(first, digest).select(F.col("first").alias("a"), F.col("near").alias("b"))).filter("a <> b").distinct()
+    sets_of = full.join(first.withColumnRenamed("first", "id"), ["id", *digest]).select("id", *digest, "sig").dropDuplicates(["id", *digest])
 
     hashes = sets_of.select("id", F.explode(F.expr(
         f"transform(sequence(0, {2 * SMALL - 1}), k -> struct(k < {SMALL} as one, xxhash64(k, substring(sig, {4 * ROWS} * k + 1, {4 * ROWS})) as v))"

@@ -92,7 +92,31 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP3_SQL = r"""
+with recursive w as (
+  select row_number() over () as rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct rn, md5(array_to_string(list_slice(w, k, k + 4), ' ')) as g from (select rn, w, unnest(range(1, greatest(len(w) - 3, 2))) as k from w where len(w) > 0)
+), n as (
+  select rn, count(*) as n from s group by rn
+), common as (
+  select a.rn as a, b.rn as b, count(*) as c from s a join s b on a.g = b.g and a.rn < b.rn group by 1, 2
+), links as (
+  select x.doc_id as a, y.doc_id as b from common join n p on common.a = p.rn join n q on common.b = q.rn join w x on common.a = x.rn join w y on common.b = y.rn
+  where 100 * c >= 75 * (p.n + q.n - c) and x.doc_id <> y.doc_id
+), e as (
+  select a, b from links union select b, a from links
+), reach(node, other) as (
+  select a, a from e union select r.node, e.b from reach r join e on r.other = e.a
+), found as (
+  select node, min(other) as least from reach group by node
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(f.least, w.doc_id) as component_id, coalesce(coalesce(f.least, w.doc_id) = w.doc_id, true) as kept
+from w left join n on w.rn = n.rn left join found f on w.doc_id = f.node
+"""
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +131,33 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"), TARGETS, other=1.0)
 
 
+#: Weights are doubled, for whole numbers; blocks are 64 KB, as for any table under 64 GB.
+OP6_SQL = f"""
+with recursive d as (
+  select row_number() over () as rn, doc_id, source, coalesce(source, '') as src, octet_length(encode(coalesce(text, ''))) + 1 as size,
+         cast('0x' || substr(md5(concat_ws('|', 'mix', cast(doc_id as varchar), text)), 1, 15) as bigint) as h from documents
+), t as (
+  select src, cast(sum(size) as bigint) as bytes, cast(case src {" ".join(f"when '{s}' then {int(2 * w)}" for s, w in TARGETS.items())} else 2 end as bigint) as w from d group by src
+), placed as (
+  select d.*, sum(size) over (partition by d.src order by h % greatest(1, (bytes + 64 * 65536 - 1) // (64 * 65536)), h, doc_id nulls first, rn) - size as start from d join t on d.src = t.src
+), s as (
+  select row_number() over (order by src) as k, src, w, sum(w) over () as total, (bytes + 65535) // 65536 as blocks from t
+), run(slot, src, block, done) as (
+  select cast(-1 as bigint), cast(null as varchar), cast(null as bigint), list_transform(range(0, (select count(*) from s)), lambda i: cast(0 as bigint))
+  union all
+  select slot, src, block, list_transform(done, lambda x, i: case when i = k then x + 1 else x end) from (
+    select slot, src, block, done, k, row_number() over (partition by slot0 order by slot, due, src) as best from (
+      select r.slot as slot0, greatest(r.slot + 1, r.done[s.k] * s.total // s.w) as slot, s.src, s.k, r.done[s.k] as block, r.done,
+             ((r.done[s.k] + 1) * s.total + s.w - 1) // s.w as due
+      from run r join s on r.done[s.k] < s.blocks)) where best = 1
+), slots as (
+  select src, block, row_number() over (order by slot) - 1 as slot from run where src is not null
+)
+select p.doc_id, p.source, x.block, x.slot, row_number() over (order by x.slot, p.start) - 1 as position
+from placed p join slots x on p.src = x.src and cast(p.start as bigint) // 65536 = x.block
+"""
+
+
 def op7_kdshards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_shards(read_table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -127,4 +178,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_topk, op3_neardup, op4_pseudonyms, op5_ann, op6_mixing, op7_kdshards, op8_urlrules, op9_toxicity, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_topk": OP2_SQL, "op8_urlrules": urlrules.oracle_sql(urlrules.RULES)}
+ORACLE_SQL: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_topk": OP2_SQL, "op3_neardup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_urlrules": urlrules.oracle_sql(urlrules.RULES)}
