@@ -85,3 +85,21 @@ def crop_to_page(v: Column, lo: Column, hi: Column) -> Column:
 
 def page_to_crop(v: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.lit(1000.0), F.greatest(F.lit(0.0), (v - lo) / (hi - lo) * 1000.0))
+
+
+def bezier(a: Column, b: Column, c: Column, d: Column, t: Column) -> Column:
+    """A coordinate of the cubic curve with these control values at t from 0 to 1."""
+    s = 1 - t
+    return s * s * s * a + 3 * s * s * t * b + 3 * s * t * t * c + t * t * t * d
+
+
+def compose(first: tuple[float, ...], then: tuple[float, ...]) -> tuple[float, ...]:
+    """The matrix (a, b, c, d, e, f), for x' = a x + c y + e and y' = b x + d y + f, that does one and then the other."""
+    a, b, c, d, e, f = first
+    p, q, r, s, u, v = then
+    return a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + u, e * q + f * s + v
+
+
+def apply_matrix(m: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:
+    a, b, c, d, e, f = m
+    return a * x + c * y + e, b * x + d * y + f

@@ -70,6 +70,13 @@ def placement_key(c: Column) -> tuple[Column, Column]:
     return get(1), get(2)
 
 
+def fnv1a(c: Column) -> Column:
+    """32-bit FNV-1a of the bytes of a string."""
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.substring(F.hex(c.cast("binary")), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    fold = F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619) % 4294967296)
+    return F.when(F.octet_length(c) > 0, fold).when(c.isNotNull(), F.lit(2166136261).cast("long"))
+
+
 @F.pandas_udf(StringType())
 def text_token(s: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, trimmed, upper case."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import engine_queries, more_queries, page_queries, state_queries, stream_queries, vote_queries  # noqa: F401
+from . import detail_queries, engine_queries, more_queries, page_queries, state_queries, stream_queries, vote_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "j02_zero_miss_split"

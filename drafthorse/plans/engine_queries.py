@@ -158,17 +158,6 @@ def j17(v):
     return linetypes.endpoint_walk(e, e.select(F.col("a").alias("start")), 7)
 
 
-@query("r14_closest_alignment", """
-with f as (select op_index, grp, arg_min(x, k) as ax, arg_min(y, k) as ay, arg_max(x, k) as bx, arg_max(y, k) as by_ from ops group by 1, 2)
-select p.op_index, q.op_index as other, round((p.bx - q.ax) * (p.bx - q.ax) + (p.by_ - q.ay) * (p.by_ - q.ay), 9) as d2 from f p join f q on p.grp = q.grp and q.op_index = p.op_index + 10""", ("ops",))
-def r14(v):
-    f = v.ops.groupBy("op_index", "grp").agg(F.min_by("x", "k").alias("ax"), F.min_by("y", "k").alias("ay"), F.max_by("x", "k").alias("bx"), F.max_by("y", "k").alias("by_"))
-    q = f.select("grp", F.col("op_index").alias("other"), F.col("ax").alias("qx"), F.col("ay").alias("qy"), (F.col("op_index") - 10).alias("op_index"))
-    x = f.select("grp", "op_index", "bx", "by_").join(q, ["grp", "op_index"])
-    dx, dy = F.col("bx") - F.col("qx"), F.col("by_") - F.col("qy")
-    return x.select("op_index", "other", F.round(dx * dx + dy * dy, 9).alias("d2"))
-
-
 @query("r20_contour_signature", """
 with s as (select op_index, list(cast(floor(x * 4) as int) || ' ' || cast(floor(y * 4) as int) order by k) as t from ops group by op_index),
 b as (select op_index, t from s union all select op_index, list_reverse(t) from s),

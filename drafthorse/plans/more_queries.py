@@ -140,12 +140,15 @@ def r15(v):
     return pages.in_any(v.detections, v.groups.filter("kind = 'legend'"), 0.0, how="left_anti").select("page", "src_pos")
 
 
-@query("r16_pattern_projection", "select a.l_partkey as region, min(b.l_suppkey) as type, count(*) as ops from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber where a.l_quantity > 40 and b.l_discount < 0.05 group by 1")
+@query("r16_pattern_projection", """
+with o as (select l_partkey as region, l_suppkey as type, l_orderkey * 8 + l_linenumber as op from lineitem)
+select a.region, count(distinct b.type) as types, string_agg(distinct cast(b.type as varchar), ',' order by cast(b.type as varchar)) as numbers, count(*) as ops from o a join o b on a.op = b.op group by a.region""")
 def r16(v):
-    x = v.table("lineitem")
-    m1 = x.filter("l_quantity > 40").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("region"))
-    m2 = x.filter(F.col("l_discount") < 0.05).select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("type"))
-    return m1.join(m2, ["l_orderkey", "l_linenumber"]).groupBy("region").agg(F.min("type").alias("type"), F.count(F.lit(1)).alias("ops"))
+    """Regions of one method to the types of the other that own their operations."""
+    x = v.table("lineitem").withColumn("op", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    m = x.select("op", F.col("l_partkey").alias("region")).join(x.select("op", F.col("l_suppkey").alias("type")), "op")
+    numbers = F.array_join(F.sort_array(F.collect_set(F.col("type").cast("string"))), ",")
+    return m.groupBy("region").agg(F.countDistinct("type").alias("types"), numbers.alias("numbers"), F.count(F.lit(1)).alias("ops"))
 
 
 @query("r21_line_identity", "select claimed_group_index, string_agg(category || n, ',' order by category) as classes from (select claimed_group_index, category, count(*) as n from symbols group by 1, 2) group by 1", ("symbols",))

@@ -97,14 +97,14 @@ def f12(v):
 
 @query("f13_needs_scan", f"""
 with t as (select doc_id as page, coalesce(length(text), 0) as size, n_chars from documents), i as (select distinct page from lines where regexp_matches(line, '{KEYWORD}')), known as (select distinct page from symbols)
-select t.page, not (t.size = t.n_chars and t.n_chars % 2 = 0) and (t.size = 0 or i.page is not null or known.page is not null) as needs_scan
+select t.page, not (t.size = t.n_chars and t.n_chars % 2 = 0) and (t.page % 17 = 0 or t.size = 0 or i.page is not null or known.page is not null) as needs_scan
 from t left join i using (page) left join known using (page)""", ("lines", "symbols"))
 def f13(v):
     t = v.table("documents").select(F.col("doc_id").alias("page"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), "n_chars")
     flag = lambda df, n: df.select("page").distinct().withColumn(n, F.lit(True))
     x = t.join(flag(v.lines.filter(F.col("line").rlike(KEYWORD)), "i"), "page", "left").join(flag(v.symbols, "known"), "page", "left")
     current = (F.col("size") == F.col("n_chars")) & (F.col("n_chars") % 2 == 0)
-    return x.select("page", (~current & ((F.col("size") == 0) | F.coalesce("i", F.lit(False)) | F.coalesce("known", F.lit(False)))).alias("needs_scan"))
+    return x.select("page", (~current & ((F.col("page") % 17 == 0) | (F.col("size") == 0) | F.coalesce("i", F.lit(False)) | F.coalesce("known", F.lit(False)))).alias("needs_scan"))
 
 
 @query("f14_anchor_eligible", f"""
@@ -268,7 +268,7 @@ def j11(v):
 
 @query("j12_column_fallback", f"""
 with col as (select page, min(x0) as lo, max(x1) as hi from symbols where category = 'shape' group by page having count(*) >= 2),
-m as (select s.page, s.symbol_index, d.src_pos, row_number() over (partition by s.page, s.symbol_index order by floor(abs(s.y0 - d.y0) * 10), {AREA.format(a='d')}, d.src_pos) as rk
+m as (select s.page, s.symbol_index, d.src_pos, row_number() over (partition by s.page, s.symbol_index order by floor(abs(s.y0 - d.y0) * 10 + 0.5), {AREA.format(a='d')}, d.src_pos) as rk
   from symbols s join col using (page) join detections d on s.page = d.page and d.x0 >= col.lo - 2 and d.x1 <= col.hi + 2 and abs(s.y0 - d.y0) <= 12 where s.category = 'line')
 select page, symbol_index, src_pos from m where rk = 1""", ("symbols", "detections"))
 def j12(v):
@@ -276,7 +276,7 @@ def j12(v):
     band = lambda y: F.floor(y / 12.0)
     a = v.symbols.filter("category = 'line'").join(col, "page").select("page", "symbol_index", F.col("y0").alias("sy"), "lo", "hi", F.explode(F.array(band(F.col("y0")) - 1, band(F.col("y0")), band(F.col("y0")) + 1)).alias("band"))
     x = a.join(v.detections.withColumn("band", band(F.col("y0"))), ["page", "band"]).filter("x0 >= lo - 2 and x1 <= hi + 2 and abs(sy - y0) <= 12")
-    return argmin_join(x, ["page", "symbol_index"], [F.floor(F.abs(F.col("sy") - F.col("y0")) * 10), geom.area(Box()), F.col("src_pos")]).select("page", "symbol_index", "src_pos")
+    return argmin_join(x, ["page", "symbol_index"], [F.floor(F.abs(F.col("sy") - F.col("y0")) * 10 + 0.5), geom.area(Box()), F.col("src_pos")]).select("page", "symbol_index", "src_pos")
 
 
 @query("j13_text_trims", """
@@ -301,11 +301,15 @@ def j14(v):
 
 
 @query("j16_nearest_head", f"""
-with m as (select s.page, s.symbol_index, d.src_pos, row_number() over (partition by s.page, s.symbol_index order by {GAP.format(a='s', b='d')}, d.src_pos) as rk from symbols s join detections d on s.page = d.page and {GAP.format(a='s', b='d')} <= 12 and least(d.y1 - d.y0, d.x1 - d.x0) > 1.2 and greatest(d.y1 - d.y0, d.x1 - d.x0) <= 240)
-select page, symbol_index, src_pos from m where rk = 1""", ("symbols", "detections"))
+with o as (select s.page, s.symbol_index, s.y0, s.x0, s.y1, s.x1, i.pos as own from symbols s join items i on s.page = i.page and s.text_index = i.idx),
+m as (select s.page, s.symbol_index, d.src_pos, row_number() over (partition by s.page, s.symbol_index order by {GAP.format(a='s', b='d')}, d.src_pos) as rk from o s join detections d on s.page = d.page and d.src_pos <> s.own and {GAP.format(a='s', b='d')} <= 12 and least(d.y1 - d.y0, d.x1 - d.x0) > 1.2 and greatest(d.y1 - d.y0, d.x1 - d.x0) <= 24)
+select page, symbol_index, src_pos from m where rk = 1""", ("symbols", "items", "detections"))
 def j16(v):
-    heads = v.detections.filter((F.least(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) > 1.2) & (F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) <= 240.0))
-    x = box_join(v.symbols.select("page", "symbol_index", "y0", "x0", "y1", "x1"), heads, 12.0)
+    """The nearest filled unit over 1.2 and at most 24 wide within 12; not the stroke itself."""
+    heads = v.detections.filter((F.least(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) > 1.2) & (F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) <= 24.0))
+    own = v.items.select("page", F.col("idx").alias("text_index"), F.col("pos").alias("own"))
+    s = v.symbols.join(own, ["page", "text_index"]).select("page", "symbol_index", "own", "y0", "x0", "y1", "x1")
+    x = box_join(s, heads, 12.0, F.col("l_own") != F.col("r_src_pos"))
     return argmin_join(x, ["page", "l_symbol_index"], [geom.gap(Box("l"), Box("r")), F.col("r_src_pos")]).select("page", F.col("l_symbol_index").alias("symbol_index"), F.col("r_src_pos").alias("src_pos"))
 
 
@@ -395,8 +399,10 @@ def r24(v):
 
 @query("r39_pixel_reply_repair", """
 with m as (select page, max(greatest(y0, x0, y1, x1)) as top from (select page, y0 * 2 as y0, x0 * 2 as x0, y1 * 2 as y1, x1 * 2 as x1 from boxes) group by page)
-select b.page, b.pos, case when m.top > 1000 then b.y0 * 2 / m.top * 1000 else b.y0 * 2 end as y0, m.top > 1000 as rescaled from boxes b join m on b.page = m.page""", ("boxes",))
+select b.page, b.pos, m.top > 1000 as rescaled, """ + ", ".join(f"case when m.top > 1000 then b.{c} * 2 / m.top * 1000 else b.{c} * 2 end as {c}" for c in ("y0", "x0", "y1", "x1")) + " from boxes b join m on b.page = m.page", ("boxes",))
 def r39(v):
+    """A reply with any coordinate out of the frame is rescaled as a whole."""
     twice = v.boxes.select("page", "pos", *((F.col(c) * 2).alias(c) for c in ("y0", "x0", "y1", "x1")))
     top = F.max(F.greatest("y0", "x0", "y1", "x1")).over(Window.partitionBy("page"))
-    return twice.withColumn("top", top).select("page", "pos", F.when(F.col("top") > 1000, F.col("y0") / F.col("top") * 1000).otherwise(F.col("y0")).alias("y0"), (F.col("top") > 1000).alias("rescaled"))
+    bad = F.col("top") > 1000
+    return twice.withColumn("top", top).select("page", "pos", bad.alias("rescaled"), *(F.when(bad, F.col(c) / F.col("top") * 1000).otherwise(F.col(c)).alias(c) for c in ("y0", "x0", "y1", "x1")))

@@ -9,7 +9,7 @@ from ..functions import geom, text
 from ..functions.geom import Box
 from ..functions.pages_spec import pages_of
 from ..operators import linetypes, state
-from .registry import NORM, UPPER, query
+from .registry import NORM, UPPER, holds, query
 
 _STORE = "case when page % 5 > 0 then 'v' || (page % 3) end"
 
@@ -286,21 +286,32 @@ def x09(v):
 
 
 @query("q03_view_completeness", """
-with got as (select page, group_index from view_types where page % 6 > 0), want as (select page, group_index from groups where kind = 'view')
-select w.page, count(*) as expected, count(g.page) as got, count(*) = count(g.page) as complete from want w left join got g on w.page = g.page and w.group_index = g.group_index group by w.page""", ("groups", "view_types"))
+with got as (select page, group_index, case when page % 5 = 0 then '' else 'seen' end as reason from view_types where page % 6 > 0 union all select page, group_index, 'seen' as reason from view_types where page % 8 = 0),
+g as (select page, group_index, count(*) as times, min(length(reason)) as shortest from got group by 1, 2), want as (select page, group_index from groups where kind = 'view')
+select coalesce(w.page, g.page) as page, count(w.page) as expected, count(g.page) as got, bool_and(w.page is not null and g.page is not null and g.times = 1 and g.shortest > 0) as complete
+from want w full join g on w.page = g.page and w.group_index = g.group_index group by 1""", ("groups", "view_types"))
 def q03(v):
-    got = v.view_types.filter("page % 6 > 0").select("page", "group_index", F.lit(1).alias("hit"))
-    x = v.groups.filter("kind = 'view'").select("page", "group_index").join(got, ["page", "group_index"], "left")
-    n, hit = F.count(F.lit(1)), F.count("hit")
-    return x.groupBy("page").agg(n.alias("expected"), hit.alias("got"), (n == hit).alias("complete"))
+    """Exactly the expected indices, each once, with a reason that is not empty."""
+    t = v.view_types.select("page", "group_index")
+    got = t.filter("page % 6 > 0").withColumn("reason", F.when(F.col("page") % 5 == 0, "").otherwise("seen")).unionByName(t.filter("page % 8 = 0").withColumn("reason", F.lit("seen")))
+    g = got.groupBy("page", "group_index").agg(F.count(F.lit(1)).alias("times"), F.min(F.length("reason")).alias("shortest"))
+    x = v.groups.filter("kind = 'view'").select("page", "group_index", F.lit(1).alias("want")).join(g, ["page", "group_index"], "full")
+    ok = F.coalesce((F.col("want") == 1) & (F.col("times") == 1) & (F.col("shortest") > 0), F.lit(False))
+    return x.groupBy("page").agg(F.count("want").alias("expected"), F.count("times").alias("got"), F.bool_and(ok).alias("complete"))
 
 
 @query("q06_marker_codes", f"""
-with w as (select page, idx, {UPPER.format(c="split_part(text, ' ', 1)")} as first from items), codes as (select distinct page, first from w where idx % 4 = 0 and regexp_matches(first, '{text.MARKER_SHAPE}'))
-select w.page, w.idx, c.first is not null as is_code from w left join codes c on w.page = c.page and w.first = c.first""", ("items",))
+with w as (select page, idx, y0, x0, y1, x1, {UPPER.format(c="split_part(text, ' ', 1)")} as first from items),
+codes as (select w.page, w.first from w join symbols s on s.page = w.page and s.text_index = w.idx where s.category = 'shape' union select w.page, w.first from w join groups g on g.page = w.page and g.kind = 'legend' and {holds('g', 'w', 2)})
+select w.page, w.idx, c.first is not null as is_code from w left join (select distinct page, first from codes where regexp_matches(first, '{text.MARKER_SHAPE}')) c on w.page = c.page and w.first = c.first""", ("items", "symbols", "groups"))
 def q06(v):
-    w = v.items.select("page", "idx", text.upper(F.split_part("text", F.lit(" "), F.lit(1))).alias("first"))
-    codes = w.filter((F.col("idx") % 4 == 0) & F.col("first").rlike(text.MARKER_SHAPE)).select("page", "first").distinct().withColumn("hit", F.lit(True))
+    """Codes come from the shape symbols' texts and from the first words of legend rows."""
+    from ..operators import pages
+
+    w = v.items.select("page", "idx", "y0", "x0", "y1", "x1", text.upper(F.split_part("text", F.lit(" "), F.lit(1))).alias("first"))
+    one = w.join(v.symbols.filter("category = 'shape'").select("page", F.col("text_index").alias("idx")), ["page", "idx"]).select("page", "first")
+    two = pages.in_any(w, v.groups.filter("kind = 'legend'"), 2.0).select("page", "first")
+    codes = one.unionByName(two).filter(F.col("first").rlike(text.MARKER_SHAPE)).distinct().withColumn("hit", F.lit(True))
     return w.join(codes, ["page", "first"], "left").select("page", "idx", F.coalesce("hit", F.lit(False)).alias("is_code"))
 
 
@@ -346,9 +357,9 @@ def q14(v):
     return a.subtract(b)
 
 
-@query("q15_type_uid", "select l_suppkey as type, 'lt2_' || substr(sha256(string_agg(cast(l_orderkey as varchar), ',' order by cast(l_orderkey as varchar))), 1, 16) as uid from lineitem where l_linenumber = 1 group by l_suppkey")
+@query("q15_type_uid", "select l_suppkey as type, 'lt2_' || substr(sha256(string_agg(cast(l_orderkey as varchar), ',' order by cast(l_orderkey as varchar))), 1, 16) as uid from lineitem group by l_suppkey")
 def q15(v):
-    x = v.table("lineitem").filter("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("type"))
+    x = v.table("lineitem").groupBy(F.col("l_suppkey").alias("type"))
     keys = F.array_join(F.sort_array(F.collect_list(F.col("l_orderkey").cast("string"))), ",")
     return x.agg(F.concat(F.lit("lt2_"), F.left(F.sha2(keys, 256), F.lit(16))).alias("uid"))
 
@@ -388,13 +399,19 @@ def r06(v):
 
 
 @query("r08_reassignable", """
-with t as (select grp, line_type_number, count(*) as votes, sum(distance) as w from bindings where not residual group by 1, 2), k as (select grp, line_type_number as winner from (select *, row_number() over (partition by grp order by votes desc, w, line_type_number) as rk from t) where rk = 1)
-select b.event_id, abs(b.line_type_number - k.winner) <= 1 and b.distance <= 36 as reassignable from bindings b join k on b.grp = k.grp""", ("bindings",))
+with t as (select grp, line_type_number, count(*) as votes, sum(distance) as w from bindings where not residual group by 1, 2), k as (select grp, line_type_number as winner from (select *, row_number() over (partition by grp order by votes desc, w, line_type_number) as rk from t) where rk = 1),
+r as (select event_id, line_type_number as number, distance, event_id % 13 = 0 as center from bindings union all select event_id, line_type_number % 5 + 1, distance * 2, event_id % 13 = 0 from bindings union all select event_id, (line_type_number + 1) % 5 + 1, distance * 3, event_id % 13 = 0 from bindings)
+select b.event_id, coalesce(bool_or(r.distance <= case when r.center then 48 else 36 end), false) as reassignable from bindings b join k on b.grp = k.grp left join r on r.event_id = b.event_id and r.number = k.winner group by b.event_id""", ("bindings",))
 def r08(v):
+    """The winner has to stand in the terminal's own ranked list, within 36 (centres: 48)."""
     from ..operators import votes
 
     k = votes.winners(votes.tally(v.bindings.filter("not residual"), ["grp"]), ["grp"]).select("grp", F.col("line_type_number").alias("winner"))
-    return v.bindings.join(k, "grp").select("event_id", ((F.abs(F.col("line_type_number") - F.col("winner")) <= 1) & (F.col("distance") <= 36)).alias("reassignable"))
+    n, d = F.col("line_type_number"), F.col("distance")
+    ranked = F.array(*(F.struct(a.cast("int").alias("number"), b.alias("distance")) for a, b in ((n, d), (n % 5 + 1, d * 2), ((n + 1) % 5 + 1, d * 3))))
+    limit = F.when(F.col("event_id") % 13 == 0, votes.MAX_CENTER).otherwise(votes.MAX_BIND)
+    x = v.bindings.withColumn("ranked", ranked).join(k, "grp")
+    return x.select("event_id", F.exists("ranked", lambda r: (r["number"] == F.col("winner")) & (r["distance"] <= limit)).alias("reassignable"))
 
 
 @query("r23_marker_column", "select page, min(x0) as lo, max(x1) as hi from symbols where category = 'shape' group by page having count(*) >= 2", ("symbols",))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geom import Box
 from ..operators import linetypes, sequence, votes
 from ..operators.spatial import box_join
-from .registry import GAP, query
+from .registry import GAP, holds, query
 
 @query("a01_vote_tally", "select grp, line_type_number, count(*) as votes, round(sum(distance), 4) as weight from bindings where not residual group by 1, 2", ("bindings",))
 def a01(v):
@@ -123,15 +123,29 @@ def a10b(v):
     return x.pivot("event_type", ["click", "view", "purchase"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query("a11_symbol_metrics", """
-select s.page, count(*) as symbols, count(i.idx) as paired, count(*) - count(i.idx) as unpaired, count(*) - count(distinct (s.y0, s.x0, s.y1, s.x1)) as dup_boxes, count(case when s.y0 >= i.y0 and s.y1 <= i.y1 and s.x0 >= i.x0 and s.x1 <= i.x1 then 1 end) as in_text
-from symbols s left join items i on s.page = i.page and s.text_index = i.idx group by s.page""", ("symbols", "items"))
+@query("a11_symbol_metrics", f"""
+with o as (select distinct s.page, s.symbol_index from symbols s join groups g on s.page = g.page and {holds('g', 's', 2)}),
+f as (select distinct s.page, s.symbol_index from symbols s join detections d on s.page = d.page and least(s.y1, d.y1) - greatest(s.y0, d.y0) >= 0.5 * (s.y1 - s.y0) and least(s.x1, d.x1) - greatest(s.x0, d.x0) >= 0.5 * (s.x1 - s.x0) and {GAP.format(a='s', b='d')} <= 0)
+select s.page, count(*) as symbols, count(i.idx) as paired, count(*) - count(i.idx) as unpaired, count(*) - count(distinct (s.y0, s.x0, s.y1, s.x1)) as dup_boxes, count(case when s.y0 >= i.y0 and s.y1 <= i.y1 and s.x0 >= i.x0 and s.x1 <= i.x1 then 1 end) as in_text,
+  count(*) - count(o.symbol_index) as outside, count(f.symbol_index) as fits
+from symbols s left join items i on s.page = i.page and s.text_index = i.idx left join o on o.page = s.page and o.symbol_index = s.symbol_index left join f on f.page = s.page and f.symbol_index = s.symbol_index group by s.page""", ("symbols", "items", "groups", "detections"))
 def a11(v):
-    i = v.items.select("page", F.col("idx").alias("text_index"), *(F.col(c).alias(f"i_{c}") for c in ("y0", "x0", "y1", "x1")))
-    x = v.symbols.join(i, ["page", "text_index"], "left")
+    from ..functions.geom import holds_center
+
+    box = ["y0", "x0", "y1", "x1"]
+    l, r = Box("l"), Box("r")
+    s = v.symbols.select("page", "symbol_index", *box)
+    o = box_join(s, v.groups.select("page", *box), 2.0, holds_center(r, l, 2.0), cell=250.0, how="left_semi").select("page", "symbol_index", F.lit(1).alias("o"))
+    half = (F.least(l.y1, r.y1) - F.greatest(l.y0, r.y0) >= 0.5 * (l.y1 - l.y0)) & (F.least(l.x1, r.x1) - F.greatest(l.x0, r.x0) >= 0.5 * (l.x1 - l.x0))
+    f = box_join(s, v.detections.select("page", *box), 0.0, half, how="left_semi").select("page", "symbol_index", F.lit(1).alias("f"))
+    i = v.items.select("page", F.col("idx").alias("text_index"), *(F.col(c).alias(f"i_{c}") for c in box))
+    x = v.symbols.join(i, ["page", "text_index"], "left").join(o, ["page", "symbol_index"], "left").join(f, ["page", "symbol_index"], "left")
     inside = (F.col("y0") >= F.col("i_y0")) & (F.col("y1") <= F.col("i_y1")) & (F.col("x0") >= F.col("i_x0")) & (F.col("x1") <= F.col("i_x1"))
     n, paired = F.count(F.lit(1)), F.count("i_y0")
-    return x.groupBy("page").agg(n.alias("symbols"), paired.alias("paired"), (n - paired).alias("unpaired"), (n - F.countDistinct("y0", "x0", "y1", "x1")).alias("dup_boxes"), F.count_if(inside).alias("in_text"))
+    return x.groupBy("page").agg(
+        n.alias("symbols"), paired.alias("paired"), (n - paired).alias("unpaired"), (n - F.countDistinct("y0", "x0", "y1", "x1")).alias("dup_boxes"), F.count_if(inside).alias("in_text"),
+        (n - F.count("o")).alias("outside"), F.count("f").alias("fits"),
+    )
 
 
 @query("a12_pooled_median", "select page % 10 as project, round(median(x1 - x0), 4) as width from boxes group by 1", ("boxes",))
@@ -149,15 +163,21 @@ _IOU = "(greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) * greatest(0, lea
 
 
 @query("a14_run_comparison", f"""
-with p as (select a.page, {_IOU} / ((a.y1 - a.y0) * (a.x1 - a.x0) + (b.y1 - b.y0) * (b.x1 - b.x0) - {_IOU}) as iou from run_a a join run_b b on a.page = b.page and a.tok = b.tok)
-select page, count(*) as paired, count(case when iou >= 0.5 then 1 end) as tight, count(case when iou < 0.5 and iou > 0 then 1 end) as partial, count(case when iou <= 0 then 1 end) as disjoint_, round(avg(iou), 6) as mean_iou from p group by page""", ("run_a", "run_b"))
+with p as (select a.page, {_IOU} / ((a.y1 - a.y0) * (a.x1 - a.x0) + (b.y1 - b.y0) * (b.x1 - b.x0) - {_IOU}) as iou, abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) as ey, abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) as ex from run_a a join run_b b on a.page = b.page and a.tok = b.tok)
+select page, count(*) as paired, count(case when iou >= 0.5 then 1 end) as tight, count(case when iou < 0.5 and iou > 0 then 1 end) as partial, count(case when iou <= 0 then 1 end) as disjoint_, round(avg(iou), 6) as mean_iou,
+  round(avg(sqrt(ex * ex + ey * ey)), 6) as center_error, round(100 * cast(count(case when iou >= 0.5 then 1 end) as double) / count(*), 3) as tight_percent from p group by page""", ("run_a", "run_b"))
 def a14(v):
-    from ..functions.geom import iou
+    from ..functions.geom import center, iou
 
     b = v.run_b.select("page", "tok", *(F.col(c).alias(f"b_{c}") for c in ("y0", "x0", "y1", "x1")))
-    p = v.run_a.join(b, ["page", "tok"]).select("page", iou(Box(), Box("b")).alias("iou"))
-    i = F.col("iou")
-    return p.groupBy("page").agg(F.count(F.lit(1)).alias("paired"), F.count_if(i >= 0.5).alias("tight"), F.count_if((i < 0.5) & (i > 0)).alias("partial"), F.count_if(i <= 0).alias("disjoint_"), F.round(F.avg(i), 6).alias("mean_iou"))
+    (ay, ax), (by, bx) = center(Box()), center(Box("b"))
+    p = v.run_a.join(b, ["page", "tok"]).select("page", iou(Box(), Box("b")).alias("iou"), F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)).alias("off"))
+    i, n = F.col("iou"), F.count(F.lit(1))
+    tight = F.count_if(i >= 0.5)
+    return p.groupBy("page").agg(
+        n.alias("paired"), tight.alias("tight"), F.count_if((i < 0.5) & (i > 0)).alias("partial"), F.count_if(i <= 0).alias("disjoint_"), F.round(F.avg(i), 6).alias("mean_iou"),
+        F.round(F.avg("off"), 6).alias("center_error"), F.round(100 * tight.cast("double") / n, 3).alias("tight_percent"),
+    )
 
 
 @query("a15_cost_ledger", """
@@ -212,11 +232,14 @@ def a22(v):
     return sequence.covered_length(v.boxes, ["page"], "x0", "x1").withColumn("covered", F.round("covered", 4))
 
 
-@query("a23_radial_quantiles", "select grp, round(quantile_cont(sqrt(x * x + y * y), 0.1), 8) as q1, round(quantile_cont(sqrt(x * x + y * y), 0.5), 8) as q5, round(quantile_cont(sqrt(x * x + y * y), 0.9), 8) as q9 from ops group by grp", ("ops",))
+_NINTHS = range(1, 10)
+
+
+@query("a23_radial_quantiles", "select grp, " + ", ".join(f"round(quantile_cont(sqrt(x * x + y * y), 0.{i}), 8) as q{i}" for i in _NINTHS) + " from ops group by grp", ("ops",))
 def a23(v):
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    q = F.percentile(r, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return v.ops.groupBy("grp").agg(q.alias("q")).select("grp", *(F.round(F.get("q", F.lit(i)), 8).alias(n) for i, n in enumerate(("q1", "q5", "q9"))))
+    q = F.percentile(r, F.array(*(F.lit(i / 10) for i in _NINTHS)))
+    return v.ops.groupBy("grp").agg(q.alias("q")).select("grp", *(F.round(F.get("q", F.lit(i - 1)), 8).alias(f"q{i}") for i in _NINTHS))
 
 
 @query("a24_spread", "select grp, round(stddev_pop(x), 8) as sx, round(avg(y), 8) as my, round(median(x), 8) as mx from ops group by grp", ("ops",))
@@ -308,6 +331,14 @@ def w08(v):
     return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 3).select("grp", "tip", "op_index", "rank")
 
 
+@query("w08_center_candidates", f"with {_TIP}, n as (select op_index, cast(count(*) as int) as points from ops group by op_index), b as (select m.*, floor(sqrt(d2) / 0.001) as bucket, n.points from m join n on m.op_index = n.op_index), z as (select *, row_number() over (partition by grp, tip order by bucket, op_index % 3, op_index) as place from b) select grp, tip, op_index, cast(place as int) as place from z where place <= 3", ("ops",))
+def w08_centers(v):
+    """Centres take distances in steps of 0.001; of equal ones the type with fewer operations (here: number modulo 3) first."""
+    best = linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 1 << 30)
+    w = Window.partitionBy("grp", "tip").orderBy(F.floor(F.sqrt("d2") / 0.001), F.col("op_index") % 3, "op_index")
+    return best.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("grp", "tip", "op_index", "place")
+
+
 @query("w09_block_selection", """
 with b as (select page, group_index, case when cast(row_number() over (partition by page order by (group_index * 7 + page) % 3 desc, group_index) as int) <= 4 then 'run' else 'skipped' end as status from groups) select page, group_index, status from b""", ("groups",))
 def w09(v):
@@ -315,10 +346,14 @@ def w09(v):
     return v.groups.select("page", "group_index", F.when(F.row_number().over(w) <= 4, "run").otherwise("skipped").alias("status"))
 
 
-@query("w10_row_bands", "select page, pos, max(y1) over (partition by page order by pos rows between 3 preceding and 1 preceding) as above, min(y0) over (partition by page order by pos rows between 1 following and 3 following) as below from boxes", ("boxes",))
+@query("w10_row_bands", """
+with m as (select page, symbol_index, y0, y1, lag(y1) over (partition by page order by y0, symbol_index) as up, lead(y0) over (partition by page order by y0, symbol_index) as down from symbols where category = 'shape')
+select page, symbol_index, case when up is null then 0 else (up + y0) / 2 end as above, case when down is null then 1000 else (y1 + down) / 2 end as below from m""", ("symbols",))
 def w10(v):
-    w = Window.partitionBy("page").orderBy("pos")
-    return v.boxes.select("page", "pos", F.max("y1").over(w.rowsBetween(-3, -1)).alias("above"), F.min("y0").over(w.rowsBetween(1, 3)).alias("below"))
+    """A marker's row reaches half-way to the markers above and below."""
+    w = Window.partitionBy("page").orderBy("y0", "symbol_index")
+    m = v.symbols.filter("category = 'shape'").withColumn("up", F.lag("y1").over(w)).withColumn("down", F.lead("y0").over(w))
+    return m.select("page", "symbol_index", F.coalesce((F.col("up") + F.col("y0")) / 2.0, F.lit(0.0)).alias("above"), F.coalesce((F.col("y1") + F.col("down")) / 2.0, F.lit(1000.0)).alias("below"))
 
 
 @query("w12_connected_runs", """
@@ -363,11 +398,14 @@ def w20(v):
 
 
 @query("w21_parallel_repeats", f"""
-select a.page, a.src_pos from detections a where exists (select 1 from detections b where a.page = b.page and a.src_pos <> b.src_pos and {GAP.format(a='a', b='b')} <= 60 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.5 * (a.x1 - a.x0))""", ("detections",))
+with e as (select *, degrees(atan2(y1 - y0, x1 - x0)) as angle from boxes)
+select a.page, a.pos from e a where exists (select 1 from e b where a.page = b.page and a.pos <> b.pos and {GAP.format(a='a', b='b')} <= 8 and abs(a.angle - b.angle) <= 8 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.5 * (a.x1 - a.x0))""", ("boxes",))
 def w21(v):
+    """Edges (a box's diagonal) with another one within 8, at most 8 degrees apart, along half of their length."""
     l, r = Box("l"), Box("r")
-    test = (F.col("l_src_pos") != F.col("r_src_pos")) & (F.least(l.x1, r.x1) - F.greatest(l.x0, r.x0) >= 0.5 * (l.x1 - l.x0))
-    return box_join(v.detections, v.detections, 60.0, test, how="left_semi").select("page", "src_pos")
+    e = v.boxes.select("page", "pos", "y0", "x0", "y1", "x1").withColumn("angle", F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))))
+    test = (F.col("l_pos") != F.col("r_pos")) & (F.abs(F.col("l_angle") - F.col("r_angle")) <= 8) & (F.least(l.x1, r.x1) - F.greatest(l.x0, r.x0) >= 0.5 * (l.x1 - l.x0))
+    return box_join(e, e, 8.0, test, how="left_semi").select("page", "pos")
 
 
 @query("w22_opposite_neighbours", """
