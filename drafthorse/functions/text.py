@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 
 import pandas as pd
@@ -83,28 +82,43 @@ def text_token(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).upper())
 
 
+def _top_level(body: str) -> list[str]:
+    """What stands between the commas of an array's own level, up to its bracket or the end of the text."""
+    parts, begin, deep, quoted, skip = [], 0, 0, False, False
+    for i, c in enumerate(body):
+        if skip:
+            skip = False
+        elif quoted:
+            quoted, skip = c != '"', c == "\\"
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            deep += 1
+        elif c in "]}" and deep:
+            deep -= 1
+        elif c == "]" or (c == "," and not deep):
+            parts.append(body[begin:i])
+            begin = i + 1
+            if c == "]":
+                return parts
+    return [*parts, body[begin:].rstrip("` \r\n\t")]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def recover_json_array(s: pd.Series) -> pd.Series:
     """The complete elements of a JSON array in a reply that may be fenced, wrapped in words, or cut off.
 
-    Elements come back as JSON text. No array: an empty list.
+    Elements come back as JSON text; the first one that is not JSON ends the list. No array: an empty list.
     """
 
     def whole(raw: str) -> list[str]:
-        body = re.sub(r"```\s*$", "", re.sub(r"^```(?:json)?", "", raw.strip())).strip()
-        at = body.find("[")
-        if at < 0:
-            return []
-        reader, found, at = json.JSONDecoder(), [], at + 1
-        while True:
-            step = re.compile(r"[ \t\r\n,]*").match(body, at)
-            at = step.end()
-            if at >= len(body) or body[at] == "]":
-                return found
-            try:
-                value, at = reader.raw_decode(body, at)
-            except json.JSONDecodeError:
-                return found
-            found.append(json.dumps(value, sort_keys=True, ensure_ascii=False))
+        found = []
+        for part in _top_level(raw.partition("[")[2]):
+            if part.strip():
+                try:
+                    found.append(json.dumps(json.loads(part), sort_keys=True, ensure_ascii=False))
+                except json.JSONDecodeError:
+                    break
+        return found
 
     return s.map(lambda v: None if v is None else whole(v))

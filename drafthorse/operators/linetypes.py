@@ -21,24 +21,25 @@ def segments(ops: DataFrame, by: tuple[str, ...] = ("grp", "op_index")) -> DataF
     return x.filter("bx is not null")
 
 
-def nearest_ops(tips: DataFrame, segs: DataFrame, k: int = 3, key: str = "grp", reach: float | None = None, cell: float = 0.05) -> DataFrame:
+def nearest_ops(tips: DataFrame, segs: DataFrame, k: int = 3, key: str = "grp", near: float | None = None, cell: float = 0.1) -> DataFrame:
     """(key, tip, op_index, d2, rank): the k nearest operations of each tip (tip, px, py) in its group, ties to the lower index.
 
-    The least distance of each operation is taken before ranking. With `reach`, tips and segments meet in grid cells
-    and operations farther away are not found; without, all operations of the group are measured.
+    The least distance of each operation is taken before ranking. With `near`, tips and segments first meet in grid
+    cells of side `cell`; a tip with k operations within `near` has its answer, only the others are measured against all
+    operations of their group. Without it all tips are. The result is the same.
     """
     d2 = point_segment_squared(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    if reach is None:
-        pairs = tips.join(segs, key)
+    measured = lambda pairs: pairs.filter("op_index <> own").groupBy(key, "tip", "op_index").agg(F.min(d2).alias("d2"))
+    if near is None:
+        best = measured(tips.join(segs, key))
     else:
         at = lambda c: F.floor(c / cell).cast("int")
-        cells = lambda lo, hi: F.sequence(at(lo), at(hi))
-        s = segs.withColumn("cx", F.explode(cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach)))
-        s = s.withColumn("cy", F.explode(cells(F.least("ay", "by") - reach, F.greatest("ay", "by") + reach)))
+        cells = lambda lo, hi: F.explode(F.sequence(at(lo - near), at(hi + near)))
+        s = segs.withColumn("cx", cells(F.least("ax", "bx"), F.greatest("ax", "bx"))).withColumn("cy", cells(F.least("ay", "by"), F.greatest("ay", "by")))
         t = tips.withColumn("cx", at(F.col("px"))).withColumn("cy", at(F.col("py")))
-        pairs = t.join(s, [key, "cx", "cy"])
-    best = pairs.filter("op_index <> own").groupBy(key, "tip", "op_index").agg(F.min(d2).alias("d2"))
-    best = best if reach is None else best.filter(F.col("d2") <= reach * reach)
+        close = measured(t.join(s, [key, "cx", "cy"])).filter(F.col("d2") <= near * near)
+        full = close.groupBy(key, "tip").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(key, "tip")
+        best = close.join(full, [key, "tip"], "left_semi").unionByName(measured(tips.join(full, [key, "tip"], "left_anti").join(segs, key)))
     rank = F.row_number().over(Window.partitionBy(key, "tip").orderBy("d2", "op_index"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 

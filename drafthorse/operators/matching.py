@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 
 
@@ -34,16 +36,24 @@ def families(values: pd.DataFrame, limit: float) -> pd.DataFrame:
     """
     v = values.sort_values(["value", "key"])
     keys, x = list(v["key"]), list(v["value"])
-    parts = [[i] for i in range(len(x))]
-    while True:
-        # joining only neighbours in value order is enough: a wider pair has a wider spread
-        gaps = [(x[b[-1]] - x[a[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-        fit = [g for g in gaps if g[0] <= limit]
-        if not fit:
-            break
-        _, i = min(fit)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    groups = sorted(sorted(keys[i] for i in p) for p in parts if len(p) > 1)
+    # joining only neighbours in value order is enough: a wider pair has a wider spread. A part is known by its first
+    # row; last, after and before tell its last row, the next part and the one before
+    last, after, before = list(range(len(x))), [*range(1, len(x)), None], [None, *range(len(x) - 1)]
+    queue = [(x[i + 1] - x[i], i, i + 1, i + 1) for i in range(len(x) - 1)]
+    heapify(queue)
+    gone: set[int] = set()
+    while queue and queue[0][0] <= limit:
+        _, a, b, end = heappop(queue)
+        if a in gone or b in gone or after[a] != b or last[b] != end:
+            continue
+        last[a], after[a] = last[b], after[b]
+        gone.add(b)
+        if after[a] is not None:
+            before[after[a]] = a
+            heappush(queue, (x[last[after[a]]] - x[a], a, after[a], last[after[a]]))
+        if before[a] is not None:
+            heappush(queue, (x[last[a]] - x[before[a]], before[a], a, last[a]))
+    groups = sorted(sorted(keys[a : last[a] + 1]) for a in range(len(x)) if a not in gone and last[a] > a)
     return pd.DataFrame([(k, n) for n, g in enumerate(groups) for k in g], columns=["key", "family"])
 
 

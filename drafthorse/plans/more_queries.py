@@ -26,7 +26,17 @@ def j21(v):
     return p.groupBy("page").applyInPandas(run, "page long, a int, b int")
 
 
-@query("w15_edge_families")
+@query("w15_edge_families", """
+with recursive r as (select grp, op_index as key, round(sqrt(avg(x * x + y * y)), 9) as value from ops group by grp, op_index),
+s as (select grp, list(value order by value, key) as v from r group by grp),
+w(grp, lo, hi, step) as (select grp, v, v, 0 from s
+  union all select grp, list_concat(lo[:at_], lo[at_ + 2:]), list_concat(hi[:at_ - 1], hi[at_ + 1:]), step + 1 from (
+    select *, list_position(gaps, list_min(gaps)) as at_ from (select grp, lo, hi, step, list_transform(range(1, len(lo)), lambda i: hi[i + 1] - lo[i]) as gaps from w))
+  where list_min(gaps) <= cast(0.002 as double)),
+f as (select grp, arg_max(lo, step) as lo from w group by grp),
+m as (select r.grp, r.key, len(list_filter(f.lo, lambda x: x <= r.value)) as part from r join f on r.grp = f.grp),
+z as (select grp, part, cast(row_number() over (partition by grp order by min(key)) - 1 as int) as family from m group by grp, part having count(*) > 1)
+select m.grp, m.key, z.family from m join z on m.grp = z.grp and m.part = z.part""", ("ops",))
 def w15(v):
     size = F.round(F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y"))), 9)
     rows = v.ops.groupBy("grp", F.col("op_index").alias("key")).agg(size.alias("value"))

@@ -196,3 +196,116 @@ def test_motif_clusters_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "op_index long, scale double, aspect double")
     got = [(r["first"], r["support"]) for r in linetypes.motif_clusters(df).collect()]
     assert sorted(got) == sorted((k, n) for k, n in want.items() if n >= 3) and (500, 3) in got and len(got) > 3
+
+
+def test_box_join_against_all_pairs(spark):
+    import random
+
+    from drafthorse.operators.spatial import box_join
+
+    rng = random.Random(6)
+
+    def boxes(n):
+        rows = []
+        for i in range(n):
+            y, x = rng.uniform(-50, 900), rng.uniform(0, 900)
+            rows.append((rng.randrange(3), i, y, x, y + rng.choice([1.0, 30.0, 400.0]), x + rng.uniform(1, 300)))
+        return [*rows, (0, n, None, None, None, None), (9, n + 1, 1.0, 1.0, 2.0, 2.0)]
+
+    a, b = boxes(60), boxes(50)
+    types = "page int, i int, y0 double, x0 double, y1 double, x1 double"
+    left, right = spark.createDataFrame(a, types), spark.createDataFrame(b[:-1], types)
+    near = lambda p, q: p[0] == q[0] and None not in (p[2], q[2]) and max(p[2] - q[4], q[2] - p[4], p[3] - q[5], q[3] - p[5]) <= 7
+    want = {(p[0], p[1], q[1]) for p in a for q in b[:-1] if near(p, q)}
+    pairs = box_join(left, right, 7.0).collect()
+    assert len(pairs) == len(want) and {(r["page"], r["l_i"], r["r_i"]) for r in pairs} == want
+    hit = {(p, i) for p, i, _ in want}
+    semi, anti = (box_join(left, right, 7.0, how=how) for how in ("left_semi", "left_anti"))
+    assert semi.columns == left.columns and sorted((r["page"], r["i"]) for r in semi.collect()) == sorted(hit)
+    assert sorted((r["page"], r["i"]) for r in anti.collect()) == sorted((p[0], p[1]) for p in a if (p[0], p[1]) not in hit)
+
+
+def test_nearest_ops_with_and_without_a_grid(spark):
+    import random
+
+    from drafthorse.operators import linetypes
+
+    rng = random.Random(2)
+    ops = spark.createDataFrame([(i % 2, i, k, rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(20) for k in range(4)], "grp int, op_index int, k int, x double, y double")
+    tips = spark.createDataFrame([(i % 2, i, i, rng.uniform(-1.5, 1.5), rng.uniform(-1, 1)) for i in range(30)], "grp int, tip int, own int, px double, py double")
+    found = [sorted((r["tip"], r["rank"], r["op_index"]) for r in linetypes.nearest_ops(tips, linetypes.segments(ops), 3, near=near).collect()) for near in (None, 0.05, 0.4)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 90
+
+
+def test_families_against_plain_joining():
+    import random
+
+    import pandas as pd
+
+    from drafthorse.operators import matching
+
+    rng = random.Random(4)
+    for _ in range(40):
+        x = sorted(round(rng.uniform(0, 1), 2) for _ in range(rng.randint(0, 25)))
+        parts = [[i] for i in range(len(x))]
+        while fit := [(x[b[-1]] - x[a[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if x[b[-1]] - x[a[0]] <= 0.1]:
+            i = min(fit)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        want = [(k, n) for n, g in enumerate(p for p in parts if len(p) > 1) for k in g]
+        got = matching.families(pd.DataFrame({"key": range(len(x)), "value": x}), 0.1)
+        assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_json_recovery_cases(spark):
+    from drafthorse.functions.text import recover_json_array
+
+    cases = {
+        '[1, {"b": [2, "]"], "a": "x, y"}, "q\\"]"]': ["1", '{"a": "x, y", "b": [2, "]"]}', '"q\\"]"'],
+        'well: ```json\n[{"a": 1}, {"a": 2}, {"a"': ['{"a": 1}', '{"a": 2}'],
+        "[1, 2, 3\n```": ["1", "2", "3"], "no array": [], "[]": [], "[1, oops, 2]": ["1"], "[1,, 2] tail [3]": ["1", "2"], None: None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", recover_json_array("t").alias("found"))
+    assert [r["found"] for r in df.orderBy("i").collect()] == list(cases.values())
+
+
+def test_resolve_cases(spark):
+    from drafthorse.operators import votes
+
+    rows = [
+        # grp, number, distance, gate, in_plan, kind, state, placement
+        (1, 1, 5.0, False, True, "arrow", "bound", 0), (1, 1, 6.0, False, True, "arrow", "bound", 0), (1, 2, 4.0, False, True, "arrow", "bound", 0), (1, 4, 9.0, False, True, "arrow", "bound", 0),
+        (2, 1, 5.0, True, True, "arrow", "bound", 0),
+        (3, 1, 5.0, False, True, "legend", "bound", 0), (3, 2, 5.0, False, True, "legend", "bound", 0),
+        (4, 1, 5.0, False, True, "arrow", "bound", 0), (4, 2, 5.0, False, True, "center", "bound", 0), (4, 2, 5.0, False, True, "center", "bound", 1),
+        (5, 9, 5.0, False, True, "arrow", "bound", 0),
+        (6, 1, 5.0, False, False, "arrow", "bound", 0),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id int, grp int, number int, distance double, gate boolean, in_plan boolean, kind string, state string, placement int")
+    groups, ends = votes.resolve(df, 4)
+    got = {r["grp"]: (r["winner"], r["missing"], r["conflict"]) for r in groups.collect()}
+    assert got == {1: (1, None, False), 2: (None, None, False), 3: (None, None, True), 4: (2, None, False), 5: (None, 9, False), 6: (None, None, False)}
+    state = {r["event_id"]: (r["final_state"], r["visible"]) for r in ends.collect()}
+    assert state[0] == ("bound", True) and state[2] == ("reassigned", True) and state[3] == ("unresolved", False)
+    assert state[4] == ("gate", False) and state[5] == ("hidden", False) and state[7] == ("reassigned", True) and state[10][0] == "hidden"
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    import pytest
+
+    from drafthorse import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Spark:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Spark())

@@ -79,7 +79,7 @@ def test_walks_runs_and_discovery_over_all_rows(spark):
             front = {b for a in front for b in to.get(a, ())} - at.keys()
             at.update(dict.fromkeys(front, depth))
         want |= {(start, p, d) for p, d in at.items()}
-    got = [(r["start"], r["at"], r["depth"]) for r in catalog.QUERIES["j17_whole_walk"](spark, SF).collect()]
+    got = [(r["start"], r["at"], r["depth"]) for r in catalog.QUERIES["j17_endpoint_walk"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
     # components of suppliers and parts
     least = {}
@@ -87,10 +87,10 @@ def test_walks_runs_and_discovery_over_all_rows(spark):
     for a, b in zip(items["l_suppkey"], items["l_partkey"] + 1000000, strict=True):
         a, b = find(a), find(b)
         least[max(a, b)] = min(a, b)
-    got = {r["op_index"]: r["least"] for r in catalog.QUERIES["w12_all_connected_runs"](spark, SF).collect()}
+    got = {r["op_index"]: r["least"] for r in catalog.QUERIES["w12_connected_runs"](spark, SF).collect()}
     assert got == {x: find(x) for x in least}
     # runs of all parts
-    runs = catalog.QUERIES["w12_all_run_numbers"](spark, SF).collect()
+    runs = catalog.QUERIES["w12_run_numbers"](spark, SF).collect()
     assert sorted(r["op_index"] for r in runs) == sorted(parts["p_partkey"])
     # discovery
     atoms = items.assign(grp=items["l_orderkey"] % 20, m=items["l_suppkey"] % 10).groupby(["grp", "l_partkey"])["m"].agg(lambda m: sorted(set(m))).reset_index()
