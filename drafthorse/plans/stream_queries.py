@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch
 from ..streaming import incremental
 from .registry import query
 
@@ -30,11 +29,42 @@ def t03(v):
     return ok.select("event_id", F.lit("accepted").alias("fate")).unionByName(stale.select("event_id", F.lit("stale").alias("fate")))
 
 
-@query("t04_incremental_upsert", "select user_id, max(event_id) as last_event from events group by user_id")
+_LAST = "select user_id, max(event_id) as last_event, count(*) as events from events group by user_id"
+
+
+def _arrivals(v, at: str):
+    """The events, a file for each of four parts of the users, as a folder to be drained."""
+    x = v.table("events").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("events"))
+    x.repartition(4, "user_id").write.parquet(f"{at}/in")
+    return x
+
+
+@query("t04_incremental_upsert", _LAST)
 def t04(v):
-    """The events folder drained as a stream into a versioned table; the last version is returned."""
-    at = f"{shared_dir(v.spark)}/drafthorse/stream-{uuid.uuid4().hex}"
-    source = v.table("events").select("user_id", F.col("event_id").alias("last_event"))
-    source.repartition(4, "user_id").write.parquet(f"{at}/in")
-    incremental.drain(v.spark, f"{at}/in", source.schema, f"{at}/checkpoint", incremental.upsert(f"{at}/out", ["user_id"], ["last_event"]))
-    return v.spark.read.parquet(f"{at}/out/v=0").select("user_id", "last_event")
+    """A folder drained as a stream, a file a batch, into a versioned table; the last version is returned."""
+    at = scratch(v.spark)
+    x = _arrivals(v, at)
+    sink = incremental.upsert(f"{at}/out", ["user_id"], ["last_event", "events"])
+    incremental.drain(v.spark, f"{at}/in", x.schema, f"{at}/checkpoint", sink, files_a_batch=1)
+    return incremental.last_version(v.spark, f"{at}/out").select("user_id", "last_event", "events")
+
+
+@query("t05_failed_chunk", _LAST)
+def t05(v):
+    """A drain that fails in its second batch, after the batch was written, and is taken up again: nothing is lost or doubled."""
+    at, failed = scratch(v.spark), []
+    x = _arrivals(v, at)
+    write = incremental.upsert(f"{at}/out", ["user_id"], ["last_event", "events"])
+
+    def sink(batch, number):
+        write(batch, number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("worker lost")
+
+    for _ in range(2):
+        try:
+            incremental.drain(v.spark, f"{at}/in", x.schema, f"{at}/checkpoint", sink, files_a_batch=1)
+        except StreamingQueryException:
+            continue
+    return incremental.last_version(v.spark, f"{at}/out").select("user_id", "last_event", "events")

@@ -82,20 +82,26 @@ def _files(spark: SparkSession, path: str):
 _claimed: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the application's part of the shared folder; that part goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/drafthorse/{spark.sparkContext.applicationId}"
+    if folder not in _claimed:
+        fs, at = _files(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _claimed.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and the copy outlives lost executors.
 
-    An application's tables stand in one folder, which goes when the driver ends; discard() deletes one before.
+    The table goes when the driver ends; discard() deletes it before.
     """
     spark = df.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark)}/drafthorse/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    if folder not in _claimed:
-        fs, at = _files(spark, folder)
-        fs.deleteOnExit(at)
-        _claimed.add(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._drafthorse_path = path
     return out

@@ -32,6 +32,13 @@ def upsert(target: str, keys: list[str], columns: list[str]) -> Callable[[DataFr
     return run
 
 
+def last_version(spark: SparkSession, target: str) -> DataFrame:
+    """The newest state that upsert() has written."""
+    versions = spark.read.parquet(target)
+    newest = versions.agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{target}/v={newest}")
+
+
 def refuse_late(results: DataFrame, current: DataFrame, keys: list[str], sig: str = "sig") -> tuple[DataFrame, DataFrame]:
     """(accepted, stale): results whose signature is still the current one, and the others."""
     now = current.select(*keys, F.col(sig).alias("__now"))
