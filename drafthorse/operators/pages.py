@@ -48,16 +48,22 @@ def union_runs(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select(*cols, F.lit("first").alias("run")).unionByName(kept.select(*cols, F.lit("second").alias("run")))
 
 
-def snap_to_lines(items: DataFrame, lines: DataFrame, key: str = "idx") -> DataFrame:
+def snap_to_lines(items: DataFrame, lines: DataFrame, key: str = "idx", line_key: str = "pos") -> DataFrame:
     """Items' boxes as the union of the lines whose centre lies in them (2 around) and most of whose words they have.
 
     A line counts if at least 60 % of its word occurrences are among the item's words. An item without such a line,
     or whose union is not valid, keeps its box.
     """
-    a = items.select("page", key, "y0", "x0", "y1", "x1", text.words(F.col("text")).alias("words"))
-    b = lines.select("page", "y0", "x0", "y1", "x1", text.words(F.col("line")).alias("words"))
-    share = F.size(F.filter("r_words", lambda w: F.array_contains("l_words", w))) >= WORD_SHARE * F.size("r_words")
-    pairs = box_join(a, b, GROUP_TOL, (F.size("r_words") > 0) & share & geom.holds_center(Box("l"), Box("r"), GROUP_TOL))
+    # boxes meet first; words are worked out once a text and go to the pairs that are left
+    box = ["page", "y0", "x0", "y1", "x1"]
+    pairs = box_join(items.select(*box, key), lines.select(*box, line_key), GROUP_TOL, geom.holds_center(Box("l"), Box("r"), GROUP_TOL))
+    a = items.select("page", F.col(key).alias(f"l_{key}"), text.words(F.col("text")).alias("l_words"))
+    b = lines.select("page", F.col(line_key).alias(f"r_{line_key}"), text.words(F.col("line")).alias("r_words")).filter(F.size("r_words") > 0)
+    pairs = pairs.join(a, ["page", f"l_{key}"]).join(b, ["page", f"r_{line_key}"])
+    # words that the item lacks, found by hashing: a line of its own has none, and is not gone through word by word
+    pairs = pairs.withColumn("lacks", F.array_except("r_words", "l_words"))
+    held = F.size("r_words") - F.size(F.filter("r_words", lambda w: F.array_contains("lacks", w)))
+    pairs = pairs.filter((F.size("lacks") == 0) | (held >= WORD_SHARE * F.size("r_words")))
     union = pairs.groupBy("page", F.col(f"l_{key}").alias(key)).agg(F.min("r_y0").alias("ny0"), F.min("r_x0").alias("nx0"), F.max("r_y1").alias("ny1"), F.max("r_x1").alias("nx1"))
     x = items.join(union, ["page", key], "left")
     ok = F.col("ny0").isNotNull() & (F.col("ny0") < F.col("ny1")) & (F.col("nx0") < F.col("nx1")) & (F.col("ny0") >= 0) & (F.col("nx0") >= 0) & (F.col("ny1") <= 1000) & (F.col("nx1") <= 1000)

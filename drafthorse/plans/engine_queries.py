@@ -142,10 +142,14 @@ def j19(v):
 
 
 @query("j20_neighbourhood", """
-with b as (select grp, op_index, bool_and(abs(x) <= 0.36 and abs(y) <= 0.36) as inside from ops group by 1, 2) select grp, op_index from b where not inside""", ("ops",))
+with b as (select grp, op_index, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from ops group by 1, 2), s as (select * from b where op_index % 10 = 0)
+select b.grp, b.op_index from b where not exists (select 1 from s where s.grp = b.grp and s.op_index <> b.op_index and b.x0 >= s.x0 - cast(0.05 as double) and b.x1 <= s.x1 + cast(0.05 as double) and b.y0 >= s.y0 - cast(0.05 as double) and b.y1 <= s.y1 + cast(0.05 as double))""", ("ops",))
 def j20(v):
-    x = v.ops.groupBy("grp", "op_index").agg(F.bool_and((F.abs("x") <= 0.36) & (F.abs("y") <= 0.36)).alias("inside"))
-    return x.filter("not inside").select("grp", "op_index")
+    """Operations that do not lie as a whole, with every point, in the padded box of another one that is a symbol."""
+    b = v.ops.groupBy("grp", "op_index").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    s = b.filter("op_index % 10 = 0").select(F.col("grp").alias("g"), F.col("op_index").alias("own"), *((F.col(c) + d).alias(f"s{c}") for c, d in (("x0", -0.05), ("x1", 0.05), ("y0", -0.05), ("y1", 0.05))))
+    inside = F.expr("grp = g and op_index <> own and x0 >= sx0 and x1 <= sx1 and y0 >= sy0 and y1 <= sy1")
+    return b.join(s, inside, "left_anti").select("grp", "op_index")
 
 
 @query("j17_endpoint_walk", """

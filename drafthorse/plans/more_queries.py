@@ -77,14 +77,19 @@ def j27(v):
 
 
 @query("j33_supplement_merge", f"""
-with base as (select * from detections where src_pos % 2 = 0), extra as (select * from detections where src_pos % 2 = 1),
-ok as (select e.* from extra e where exists (select 1 from base b where b.page = e.page and {GAP.format(a='e', b='b')} <= 60) and not exists (select 1 from base b where b.page = e.page and {GAP.format(a='e', b='b')} <= 3))
-select page, src_pos, 'base' as origin from base union all select page, src_pos, 'supplement' as origin from ok""", ("detections",))
+with base as (select * from detections where src_pos % 2 = 0), extra as (select * from detections where src_pos % 2 = 1), heads as (select * from base where greatest(y1 - y0, x1 - x0) <= 24),
+ok as (select e.*, exists (select 1 from base b where b.page = e.page and {GAP.format(a='e', b='b')} <= 3) as same from extra e where exists (select 1 from base b where b.page = e.page and {GAP.format(a='e', b='b')} <= 60) and not exists (select 1 from heads h where h.page = e.page and {GAP.format(a='e', b='h')} <= 4 and {GAP.format(a='e', b='h')} > 3))
+select page, src_pos, 'base' as origin from base union all select page, src_pos, case when same then 'upgrade' else 'supplement' end as origin from ok""", ("detections",))
 def j33(v):
+    """Extra strokes that touch the base and cross no head: within 3 of a known one they upgrade it, else they are new."""
     base, extra = v.detections.filter("src_pos % 2 = 0"), v.detections.filter("src_pos % 2 = 1")
     box = base.select("page", "y0", "x0", "y1", "x1")
-    ok = box_join(box_join(extra, box, 60.0, how="left_semi"), box, 3.0, how="left_anti")
-    return base.select("page", "src_pos", F.lit("base").alias("origin")).unionByName(ok.select("page", "src_pos", F.lit("supplement").alias("origin")))
+    heads = box.filter(F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) <= 24)
+    ok = box_join(extra, box, 60.0, how="left_semi")
+    ok = box_join(ok, heads, 4.0, geom.gap(Box("l"), Box("r")) > 3, how="left_anti")
+    same = box_join(ok, box, 3.0, how="left_semi").select("page", "src_pos", F.lit(True).alias("same"))
+    ok = ok.join(same, ["page", "src_pos"], "left")
+    return base.select("page", "src_pos", F.lit("base").alias("origin")).unionByName(ok.select("page", "src_pos", F.when(F.col("same"), "upgrade").otherwise("supplement").alias("origin")))
 
 
 @query("q02_record_identity", "select o_orderkey, o_orderstatus in ('O', 'F') and o_totalprice > 0 as valid, o_orderpriority = '1-URGENT' and o_custkey % 2 = 0 as current from orders")

@@ -364,12 +364,14 @@ def q04(v):
 @query("q05_classify", f"""
 with own as ({_SMALLEST.format(k='symbol_index', t='symbols')}), item as ({_SMALLEST.format(k='idx', t='items')}),
 g as (select s.page, s.symbol_index, coalesce(coalesce(own.kind, item.kind) in ('legend', 'schedule', 'note_cluster'), false) as ok from symbols s left join own on s.page = own.page and s.symbol_index = own.symbol_index left join item on s.page = item.page and s.text_index = item.idx),
-o as (select s.*, i.text as ot, {MEET.format(a='s', b='i')} / least({AREA.format(a='s')}, {AREA.format(a='i')}) as share from symbols s join g on s.page = g.page and s.symbol_index = g.symbol_index and g.ok left join items i on s.page = i.page and s.text_index = i.idx),
+o as (select s.*, i.text as ot, {MEET.format(a='s', b='i')} / least({AREA.format(a='s')}, {AREA.format(a='i')}) as share from symbols s join items gate on gate.page = s.page and gate.idx = s.text_index and gate.text <> '' and not (regexp_matches(gate.text, '{text.GATE}') and not regexp_matches(gate.text, '{text.FENCE}')) join g on s.page = g.page and s.symbol_index = g.symbol_index and g.ok left join items i on s.page = i.page and s.text_index = i.idx),
 r as (select page, symbol_index, row_number() over (partition by page, round_even(y0, 0), round_even(x0, 0), round_even(y1, 0), round_even(x1, 0) order by case when coalesce(share, 0) > 0.5 then 1 else 0 end, -length(coalesce(ot, '')), text_index, symbol_index) as rk from o)
 select page, symbol_index from r where rk = 1""", ("symbols", "items", "groups"))
 def q05(v):
+    """Owner gate, then group gate, then one symbol of each box."""
+    own = v.items.filter((F.col("text") != "") & ~text.is_gate(F.col("text"))).select("page", F.col("idx").alias("text_index"))
     ok = pages.group_verdict(v.symbols, v.items, v.groups).filter("ok").select("page", "symbol_index")
-    return pages.dedupe_symbols(v.symbols.join(ok, ["page", "symbol_index"], "left_semi"), v.items).filter("kept").select("page", "symbol_index")
+    return pages.dedupe_symbols(v.symbols.join(own, ["page", "text_index"], "left_semi").join(ok, ["page", "symbol_index"], "left_semi"), v.items).filter("kept").select("page", "symbol_index")
 
 
 @query("q01_page_rejects", f"""
@@ -379,13 +381,20 @@ def q01(v):
     return v.detections.groupBy("page").agg(F.count(F.lit(1)).alias("n"), ok.alias("valid"), (ok == 0).alias("page_error"))
 
 
-@query("r22_box_select", """
-select g.page, g.group_index, count(*) as units from groups g join detections d on g.page = d.page
-  and least(g.y1, d.y1) - greatest(g.y0, d.y0) >= 0.5 * (d.y1 - d.y0) and least(g.x1, d.x1) - greatest(g.x0, d.x0) >= 0.5 * (d.x1 - d.x0) group by 1, 2""", ("groups", "detections"))
+@query("r22_box_select", f"""
+with u as (select g.page, g.group_index, count(*) as units from groups g join detections d on g.page = d.page
+  and least(g.y1, d.y1) - greatest(g.y0, d.y0) >= 0.5 * (d.y1 - d.y0) and least(g.x1, d.x1) - greatest(g.x0, d.x0) >= 0.5 * (d.x1 - d.x0) group by 1, 2),
+t as (select g.page, g.group_index, count(*) as texts from groups g join items i on g.page = i.page and {holds('g', 'i', 0)} group by 1, 2)
+select g.page, g.group_index, coalesce(u.units, 0) as units, coalesce(t.texts, 0) as texts from groups g left join u on g.page = u.page and g.group_index = u.group_index left join t on g.page = t.page and g.group_index = t.group_index""", ("groups", "detections", "items"))
 def r22(v):
+    """Units of which half lies in the box on either axis, and texts whose centre does."""
     l, r = Box("l"), Box("r")
     share = (F.least(l.y1, r.y1) - F.greatest(l.y0, r.y0) >= 0.5 * (r.y1 - r.y0)) & (F.least(l.x1, r.x1) - F.greatest(l.x0, r.x0) >= 0.5 * (r.x1 - r.x0))
-    return box_join(v.groups, v.detections, 0.0, share, cell=250.0).groupBy("page", F.col("l_group_index").alias("group_index")).agg(F.count(F.lit(1)).alias("units"))
+    count = lambda pairs, n: pairs.groupBy("page", F.col("l_group_index").alias("group_index")).agg(F.count(F.lit(1)).alias(n))
+    u = count(box_join(v.groups, v.detections, 0.0, share, cell=250.0), "units")
+    t = count(box_join(v.groups, v.items.select("page", "idx", "y0", "x0", "y1", "x1"), 0.0, geom.holds_center(l, r, 0.0), cell=250.0), "texts")
+    x = v.groups.select("page", "group_index").join(u, ["page", "group_index"], "left").join(t, ["page", "group_index"], "left")
+    return x.fillna(0)
 
 
 @query("r24_outline_check", """

@@ -68,6 +68,28 @@ def s18b(v):
     return v.items.join(s, ["page", "idx"], "left").select("page", "idx", "text", "symbol_index", "category")
 
 
+@query("s18_jobs", "select user_id as job, count(*) as steps, count(case when event_type = 'error' then 1 end) as errors, max(event_id) as last_step from events group by user_id")
+def s18_jobs(v):
+    return v.table("events").groupBy(F.col("user_id").alias("job")).agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("event_id").alias("last_step"))
+
+
+@query("s18_models", "select model, count(*) as calls, min(event_id) as first_call from calls group by model", ("calls",))
+def s18_models(v):
+    return v.calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.min("event_id").alias("first_call"))
+
+
+@query("s18_linetypes_all", """
+select b.line_type_number as number, count(*) as terminals, count(case when residual then 1 end) as residual, count(distinct grp) as groups, round(min(distance), 4) as nearest from bindings b group by 1""", ("bindings",))
+def s18_linetypes(v):
+    return v.bindings.groupBy(F.col("line_type_number").alias("number")).agg(
+        F.count(F.lit(1)).alias("terminals"), F.count_if("residual").alias("residual"), F.countDistinct("grp").alias("groups"), F.round(F.min("distance"), 4).alias("nearest"))
+
+
+@query("s18_preset_target", "select source as slug, arg_min(doc_id, (n_chars = 0, doc_id)) as page from documents group by source")
+def s18_preset(v):
+    return v.table("documents").groupBy(F.col("source").alias("slug")).agg(F.min_by("doc_id", F.struct(F.col("n_chars") == 0, "doc_id")).alias("page"))
+
+
 @query("s19_upload_tokens", "select user_id as token, min(event_id) as first_event, count(*) as uploads from events where event_type = 'signup' group by user_id")
 def s19(v):
     return v.table("events").filter("event_type = 'signup'").groupBy(F.col("user_id").alias("token")).agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("uploads"))
@@ -323,14 +345,19 @@ def q08(v):
 
 @query("q10_latest_tranche", """
 with x as (select o_custkey as c, o_orderkey as t from orders), b as (select c, t, case when t - lag(t) over (partition by c order by t) > 64 then 1 else 0 end as brk from x), i as (select c, t, sum(brk) over (partition by c order by t rows unbounded preceding) as tr from b),
-k as (select c, t, tr, max(tr) over (partition by c) as last from i) select c, count(*) as n, min(t) as first from k where tr = last group by c""")
+k as (select c, t, tr, max(tr) over (partition by c) as last, count(*) over (partition by c) as total, max(t) over (partition by c) - min(t) over (partition by c) as whole from i)
+select c, count(*) as n, min(t) as first, count(*) >= cast(0.2 as double) * max(total) and max(t) - min(t) >= cast(0.005 as double) * max(whole) as usable from k where tr = last group by c""")
 def q10(v):
+    """The latest run of paints without a gap over 64, and whether it covers a fifth of them and enough of their span."""
     from ..operators.sequence import islands
 
-    w = Window.partitionBy("c").orderBy("t")
+    w, whole = Window.partitionBy("c").orderBy("t"), Window.partitionBy("c")
     x = v.table("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("t"))
-    i = islands(x, ["c"], ["t"], F.col("t") - F.lag("t").over(w) > 64, "tr").withColumn("last", F.max("tr").over(Window.partitionBy("c")))
-    return i.filter("tr = last").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
+    i = islands(x, ["c"], ["t"], F.col("t") - F.lag("t").over(w) > 64, "tr").withColumn("last", F.max("tr").over(whole))
+    i = i.withColumn("total", F.count(F.lit(1)).over(whole)).withColumn("whole", F.max("t").over(whole) - F.min("t").over(whole))
+    n = F.count(F.lit(1))
+    usable = (n >= F.lit(0.2) * F.max("total")) & (F.max("t") - F.min("t") >= F.lit(0.005) * F.max("whole"))
+    return i.filter("tr = last").groupBy("c").agg(n.alias("n"), F.min("t").alias("first"), usable.alias("usable"))
 
 
 @query("q11_style_tolerance", "select a.n_nationkey as a, b.n_nationkey as b from (select n_nationkey, n_regionkey, length(n_name) as p from nation) a join (select n_nationkey, n_regionkey, length(n_name) as p from nation) b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey and abs(a.p - b.p) <= 0.2 * greatest(a.p, b.p)")
@@ -341,10 +368,17 @@ def q11(v):
 
 
 @query("q12_result_invariants", """
-with t as (select l_orderkey as type, count(*) as members, max(l_linenumber) as claimed from lineitem group by 1) select type, members, claimed from t where members <> claimed""")
+with t as (select l_orderkey as type, count(*) as members, count(distinct l_linenumber) as distinct_members, max(l_linenumber) as claimed, min(l_linenumber) as first, min(l_quantity) as least from lineitem group by 1),
+v as (select type, unnest([case when members <> claimed then 'count' end, case when distinct_members < members then 'repeated' end, case when first <> 1 then 'start' end, case when least <= 0 then 'empty member' end]) as rule from t)
+select type, rule from v where rule is not null""")
 def q12(v):
-    t = v.table("lineitem").groupBy(F.col("l_orderkey").alias("type")).agg(F.count(F.lit(1)).alias("members"), F.max("l_linenumber").alias("claimed"))
-    return t.filter("members <> claimed")
+    """A row for each invariant that a result breaks."""
+    t = v.table("lineitem").groupBy(F.col("l_orderkey").alias("type")).agg(
+        F.count(F.lit(1)).alias("members"), F.countDistinct("l_linenumber").alias("own"), F.max("l_linenumber").alias("claimed"), F.min("l_linenumber").alias("first"), F.min("l_quantity").alias("least")
+    )
+    rules = {"count": "members <> claimed", "repeated": "own < members", "start": "first <> 1", "empty member": "least <= 0"}
+    broken = F.array_compact(F.array(*(F.when(F.expr(test), name) for name, test in rules.items())))
+    return t.select("type", F.explode(broken).alias("rule"))
 
 
 @query("q14_partition_equality", """

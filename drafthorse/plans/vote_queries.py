@@ -286,14 +286,16 @@ def w03(v):
 
 @query("w05_sequential_groups", """
 with f as (select op_index, max(case when k = 0 then x end) as sx, max(case when k = 0 then y end) as sy, max(case when k = 31 then x end) as ex, max(case when k = 31 then y end) as ey, max(grp) as grp from ops group by op_index),
-b as (select *, case when (sx - lag(ex) over o) * (sx - lag(ex) over o) + (sy - lag(ey) over o) * (sy - lag(ey) over o) > 0.04 then 1 else 0 end as brk from f window o as (partition by grp order by op_index))
+b as (select *, case when (sx - lag(ex) over o) * (sx - lag(ex) over o) + (sy - lag(ey) over o) * (sy - lag(ey) over o) > 0.04 or op_index // 100 <> lag(op_index // 100) over o or op_index % 3 <> lag(op_index % 3) over o then 1 else 0 end as brk from f window o as (partition by grp order by op_index))
 select op_index, cast(sum(brk) over (partition by grp order by op_index rows unbounded preceding) as int) as group_id from b""", ("ops",))
 def w05(v):
     at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     f = v.ops.groupBy("op_index").agg(at(0, "x").alias("sx"), at(0, "y").alias("sy"), at(31, "x").alias("ex"), at(31, "y").alias("ey"), F.max("grp").alias("grp"))
     o = Window.partitionBy("grp").orderBy("op_index")
     dx, dy = F.col("sx") - F.lag("ex").over(o), F.col("sy") - F.lag("ey").over(o)
-    x = f.withColumn("brk", dx * dx + dy * dy > 0.04)
+    # a new form (here: hundred) or style (number modulo 3) begins a group wherever its first point lies
+    form, style = F.floor(F.col("op_index") / 100), F.col("op_index") % 3
+    x = f.withColumn("brk", (dx * dx + dy * dy > 0.04) | (form != F.lag(form).over(o)) | (style != F.lag(style).over(o)))
     return sequence.islands(x, ["grp"], ["op_index"], F.col("brk"), "group_id").select("op_index", "group_id")
 
 
@@ -326,6 +328,15 @@ def j18(v):
     return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 1, near=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
 
 
+_OWNED = _TIP.replace("t.grp = s.grp and s.bx", "t.grp = s.grp and s.op_index % 3 = 0 and s.bx")
+
+
+@query("j18_nearest_owned_op", f"with {_OWNED} select grp, tip, op_index, round(d2, 9) as d2 from r where rank = 1", ("ops",))
+def j18_owned(v):
+    """The nearest operation that a line type owns (here: number modulo 3 is 0)."""
+    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops.filter("op_index % 3 = 0")), 1, near=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
+
+
 @query("w08_top_candidates", f"with {_TIP} select grp, tip, op_index, cast(rank as int) as rank from r where rank <= 3", ("ops",))
 def w08(v):
     return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 3, near=0.02).select("grp", "tip", "op_index", "rank")
