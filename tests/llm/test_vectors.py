@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from drafthorse.llm import queries
+from drafthorse.llm import queries, topk
 from drafthorse.llm.ann import axes, hadamard, nearest, recall
 from drafthorse.llm.topk import top_k
 
@@ -31,6 +32,27 @@ def test_top_k_exact(spark):
         assert sorted(rows) == [(k + 1, i, -c) for k, (c, i) in enumerate(want)]
 
 
+def test_bounds_leave_far_blocks_out(spark):
+    """Ids in the order of directions: a query goes to few shards, and the result is still that of all pairs."""
+    rng = np.random.default_rng(8)
+    angle = np.linspace(0, np.pi, 2000)
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1) + rng.normal(scale=1e-3, size=(2000, 2))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = np.floor(1000 * x).astype(np.int64)
+    got = {}
+    for r in top_k(df, Q, k=5, scale=1000.0, block=20, shard=2, queries=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 2000, 20):
+        s = v @ v[q]
+        want = sorted((-int(c), i) for i, c in enumerate(s) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -c) for k, (c, i) in enumerate(want)]
+    # one tile of bounds by hand: the direction of a block decides
+    lists = lambda m: pa.array([list(map(int, r)) for r in m], pa.list_(pa.int64()))
+    left = pa.table({"id": [1], "v": lists([[1000, 0]]), "floor": [900_000]})
+    right = pa.table({"shard": [0, 1], "piece": pa.array([0, 0], pa.int32()), "top": lists([[1000, 10], [100, 1000]]), "low": lists([[950, 0], [0, 990]])})
+    assert topk._reached(2)((), left, right).to_pylist() == [{"id": 1, "shard": 0, "piece": 0}]
+
+
 def test_top_k_small(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [2.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, top_k(df, Q).collect())) == [(0, 1, 20, 8192), (20, 1, 0, 8192)]
