@@ -1,20 +1,21 @@
 """Pseudonyms for personal data, in DataFrame functions alone.
 
-Values are found by one pattern and, where their format has a check, validated: card numbers (issuer and Luhn), IBANs (mod 97),
-telephone numbers in the shape of the +1 plan (any area and exchange), social security numbers, IPv4 addresses, dates from 1800 to 2199. A valid value is
-permuted by a keyed Feistel network on exactly the values of its format (two halves with their own moduli, eight
-rounds of SHA-256), check digits are made anew, and separators stay where they are. So a pseudonym is valid itself,
-equal values have equal pseudonyms in every document, and the holder of the key can go back (`inverse=True`). Of an
-IBAN every account digit is permuted and every letter masked under them; the country alone stays.
-Mail addresses and secrets have no such domain: they are replaced by keyed digests in their format, equal for equal
-values as well. Anything else in a text, numbers that fail their check included, is left as it is. Names of secrets are matched in any case. An IBAN ends where
-its country's length says, for other countries where mod 97 comes out at 1.
+Values are found by one pattern and, where their format has a check, validated: card numbers (issuer and Luhn), IBANs
+(mod 97), telephone numbers in the shape of the +1 plan (any area and exchange), social security numbers, IPv4
+addresses, dates from 1800 to 2199. A valid value is permuted by a keyed Feistel network on exactly the values of its
+format (two halves with their own moduli, eight rounds of SHA-256), check digits are made anew, and separators stay
+where they are. So a pseudonym is valid itself, equal values have equal pseudonyms in every document, and the holder of
+the key can go back (`inverse=True`). Of an IBAN every account digit is permuted and every letter masked under them;
+the country alone stays. Mail addresses and secrets have no such domain: they are replaced by keyed digests in their
+format, equal for equal values as well. Anything else in a text, numbers that fail their check included, is left as it
+is. Names of secrets are matched in any case. An IBAN ends where its country's length says, for other countries where
+mod 97 comes out at 1.
 
 Nothing is shuffled: a text is split at its matches, and joined again.
 
-Defined cases. Null text stays null. Empty text stays empty. Very long texts are gone through whole; the number of matches in a text is not limited. Repeated
-rows get equal results. Null ids are ids like any other. Columns that are not asked for are not read. An empty
-table gives an empty result.
+Defined cases. Null text stays null. Empty text stays empty. Very long texts are gone through whole; the number of
+matches in a text is not limited. Repeated rows get equal results. Null ids are ids like any other. Columns that are not
+asked for are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,14 +6,14 @@ embeddings of its byte n-grams (3 to 7, marked at either end of the word) and of
 seen shares most of its n-grams with the word.
 
 Training runs on the driver on a bounded sample: `per_class` labelled documents of either class with at most
-`most_bytes` each, those of least hash, whatever the table's size. Once trained, embedding times weight is one number a bucket, so an executor scores a
-text with a table of `buckets` floats, over every word of the whole text.
-
-Defined cases. Null or wordless texts score by the bias alone, which is trained to call them clean. Labels that are null or whose document is absent teach
-nothing; of several labels of one document the highest stands, of several texts the least. Very long texts are scored
-whole. An extra column named `score` cannot be kept beside the score: ValueError. With no label of one class the score is the share of
-the other: 0 with no labels at all. Null ids are not held out. Repeated rows are scored alike. Other columns are not
-read. An empty table gives an empty result.
+`most_bytes` each, those of least hash, whatever the table's size. Once trained, embedding times weight is one number a
+bucket, so an executor scores a text with a table of `buckets` floats, over every word of the whole text.
+
+Defined cases. Null or wordless texts score by the bias alone, which is trained to call them clean. Labels that are
+null or whose document is absent teach nothing; of several labels of one document the highest stands, of several texts
+the least. Very long texts are scored whole. An extra column named `score` cannot be kept beside the score: ValueError.
+With no label of one class the score is the share of the other: 0 with no labels at all. Null ids are not held out.
+Repeated rows are scored alike. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
