@@ -58,7 +58,7 @@ def span_hash(p: np.ndarray, i: np.ndarray, j: np.ndarray, base: int = 0, salt:
     return mix(x)
 
 
-def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with about `limit` bytes; null is empty.
 
     A longer text stands alone, whole.

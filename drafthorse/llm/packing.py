@@ -36,21 +36,29 @@ END_ID = 1
 SPECIAL = "<|endoftext|>"
 #: Pre-tokenizer pattern of the byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_encoders: dict[tuple[str, str], tuple] = {}
+_encoders: dict[tuple[str, str], list] = {}
 
 
 def _encoder(json_file: str, rank_file: str):
-    """encode(text) -> ids, kept for the life of the worker."""
+    """encode(text) -> ids, kept for the life of the worker; the slower of the two is loaded when a text needs it."""
     if (json_file, rank_file) not in _encoders:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[json_file, rank_file] = fast, Tokenizer.from_file(json_file)
-    fast, exact = _encoders[json_file, rank_file]
-    return lambda text: exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_to_numpy(text, disallowed_special=())
+        _encoders[json_file, rank_file] = [tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})]
+    pair = _encoders[json_file, rank_file]
+
+    def encode(text: str):
+        if SPECIAL not in text:
+            return pair[0].encode_to_numpy(text, disallowed_special=())
+        if len(pair) == 1:
+            from tokenizers import Tokenizer
+
+            pair.append(Tokenizer.from_file(json_file))
+        return pair[1].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def tokenizer_files(names: tuple[str, str] = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")) -> tuple[str, str]:
