@@ -32,12 +32,19 @@ def local_session(cores: int | str = 8, **settings: str) -> SparkSession:
     return spark
 
 
+#: Rows that go to a Python worker at once: texts are long, and ten thousand of them would be held on either side.
+BATCH_ROWS = 2000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once an application: the driver may have it on its own path alone."""
+    """Hand this package to the executors, once an application: the driver may have it on its own path alone.
+
+    Where the session leaves the size of Arrow batches at Spark's default, it becomes BATCH_ROWS.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     own = os.path.dirname(os.path.abspath(__file__))
