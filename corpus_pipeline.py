@@ -18,6 +18,7 @@ from drafthorse.llm.queries import DEMO_KEY, TARGETS
 from drafthorse.llm.toxicity import score, train
 from drafthorse.session import materialize, read_table
 
+FEW_KEYS = 1 << 21
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,7 +49,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), "key")
     members = materialize(rows.select("key", order.alias("order")).join(judged, "key"))
     first = members.groupBy("component_id").agg(F.min("order").alias("first")).select("first.key")
-    gone = members.select("key").join(first, "key", "left_anti")
+    gone = materialize(members.select("key").join(first, "key", "left_anti"))
+    # keys of eight bytes: up to FEW_KEYS they go to the texts, beyond that the texts are dealt by key
+    gone = F.broadcast(gone) if gone.count() <= FEW_KEYS else gone
     return rows.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
