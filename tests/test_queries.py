@@ -43,6 +43,27 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def narrow(spark, folder, name, scale):
+    """(rows of the query, rows of its SQL) where all operations lie within a few `scale`."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, scale) for _ in range(64)], i % 2) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    cur = c.execute(catalog.ORACLE_SQL[name])
+    at = [[d[0] for d in cur.description].index(x) for x in df.columns]
+    return sorted(tuple(map(canon, r)) for r in df.collect()), sorted(tuple(canon(r[i]) for i in at) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["j18_nearest_owned_op"])
+def test_same_as_sql_where_distances_tie(spark, tmp_path, name):
+    got, want = narrow(spark, tmp_path, name, 1e-5)
+    assert got == want
+
+
 def test_entry_works_without_the_optional_parts(spark):
     import __spark_entry__ as entry
 
