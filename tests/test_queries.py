@@ -58,7 +58,7 @@ def narrow(spark, folder, name, scale):
     return sorted(tuple(map(canon, r)) for r in df.collect()), sorted(tuple(canon(r[i]) for i in at) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["j18_nearest_owned_op"])
+@pytest.mark.parametrize("name", ["j18_nearest_owned_op", "w08_top_candidates", "w08_center_candidates"])
 def test_same_as_sql_where_distances_tie(spark, tmp_path, name):
     got, want = narrow(spark, tmp_path, name, 1e-5)
     assert got == want
