@@ -237,6 +237,27 @@ def test_nearest_ops_with_and_without_a_grid(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 90
 
 
+def test_few_edges_are_settled_in_few_jobs(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(rng.randint(400, 900), rng.randint(400, 900)) for _ in range(250)] + [(5, 5), (7, -7), (2, 1), (1000, 1000)]
+    least = {}
+    find = lambda x: x if least.setdefault(x, x) == x else find(least[x])
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    jobs = []
+    for last in (0, 100, 1 << 14):  # rounds alone, rounds and then one task, one task
+        spark.sparkContext.setJobGroup(f"components {last}", "")
+        got = connected_components(df, last_edges=last).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {last}")))
+        assert len(got) == len(least) and {r["node"]: r["component"] for r in got} == {x: find(x) for x in least}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[2] <= 12 and jobs[2] < jobs[1] < jobs[0]
+    assert connected_components(df.filter("src = 5 and dst = 5")).collect() == []
+
+
 def test_nearest_ops_that_tie_on_twelve_places(spark):
     ops = lambda rows: spark.createDataFrame([(0, i, -1.0 if y is not None else None, y, 1.0, y or 0.0) for i, y in rows], "grp int, op_index int, ax double, ay double, bx double, by double")
     tips = spark.createDataFrame([(0, 7, 7, 0.0, 0.0)], "grp int, tip int, own int, px double, py double")
