@@ -325,7 +325,7 @@ def _tips(v):
 
 @query("j18_nearest_op", f"with {_TIP} select grp, tip, op_index, round(d2, 9) as d2 from r where rank = 1", ("ops",))
 def j18(v):
-    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 1, near=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
+    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 1, near=0.002, cell=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
 
 
 _OWNED = _TIP.replace("t.grp = s.grp and s.bx", "t.grp = s.grp and s.op_index % 3 = 0 and s.bx")
@@ -334,20 +334,22 @@ _OWNED = _TIP.replace("t.grp = s.grp and s.bx", "t.grp = s.grp and s.op_index %
 @query("j18_nearest_owned_op", f"with {_OWNED} select grp, tip, op_index, round(d2, 9) as d2 from r where rank = 1", ("ops",))
 def j18_owned(v):
     """The nearest operation that a line type owns (here: number modulo 3 is 0)."""
-    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops.filter("op_index % 3 = 0")), 1, near=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
+    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops.filter("op_index % 3 = 0")), 1, near=0.002, cell=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
 
 
 @query("w08_top_candidates", f"with {_TIP} select grp, tip, op_index, cast(rank as int) as rank from r where rank <= 3", ("ops",))
 def w08(v):
-    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 3, near=0.02).select("grp", "tip", "op_index", "rank")
+    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 3, near=0.002, cell=0.02).select("grp", "tip", "op_index", "rank")
 
 
 @query("w08_center_candidates", f"with {_TIP}, n as (select op_index, cast(count(*) as int) as points from ops group by op_index), b as (select m.*, floor(sqrt(d2) / 0.001) as bucket, n.points from m join n on m.op_index = n.op_index), z as (select *, row_number() over (partition by grp, tip order by bucket, op_index % 3, op_index) as place from b) select grp, tip, op_index, cast(place as int) as place from z where place <= 3", ("ops",))
 def w08_centers(v):
     """Centres take distances in steps of 0.001; of equal ones the type with fewer operations (here: number modulo 3) first."""
-    best = linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 1 << 30)
-    w = Window.partitionBy("grp", "tip").orderBy(F.floor(F.sqrt("d2") / 0.001), F.col("op_index") % 3, "op_index")
-    return best.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("grp", "tip", "op_index", "place")
+    best = linetypes.nearest_ops(
+        _tips(v), linetypes.segments(v.ops), 3, near=0.002, cell=0.02,
+        first=lambda d2: F.floor(F.sqrt(d2) / 0.001), ties=(F.col("op_index") % 3, "op_index"),
+    )
+    return best.select("grp", "tip", "op_index", F.col("rank").alias("place"))
 
 
 @query("w09_block_selection", """

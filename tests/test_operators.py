@@ -237,6 +237,19 @@ def test_nearest_ops_with_and_without_a_grid(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 90
 
 
+def test_cells_hold_all_that_is_near_and_little_else(spark):
+    rng = random.Random(4)
+    segs = [(0, i, *(round(rng.uniform(-1, 1), 2) for _ in range(4))) for i in range(40)] + [(0, 40, 0.1, -1.0, 0.1, 1.0), (0, 41, -1.0, 0.2, 1.0, 0.2), (0, 42, 0.3, 0.3, 0.3, 0.3)]
+    got = linetypes._cells(spark.createDataFrame(segs, "grp int, op_index int, ax double, ay double, bx double, by double"), 0.01, 0.05)
+    got = {(r["op_index"], r["cx"], r["cy"]) for r in got.collect()}
+    for _, i, ax, ay, bx, by in segs:
+        for t in np.linspace(0, 1, 200):
+            for u in np.linspace(0, 2 * np.pi, 8):
+                x, y = ax + t * (bx - ax) + 0.0099 * np.cos(u), ay + t * (by - ay) + 0.0099 * np.sin(u)
+                assert (i, int(np.floor(x / 0.05)), int(np.floor(y / 0.05))) in got
+    assert len(got) < 130 * len(segs)  # whole boxes would be several times as many
+
+
 def test_few_edges_are_settled_in_few_jobs(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(300)] + [(rng.randint(400, 900), rng.randint(400, 900)) for _ in range(250)] + [(5, 5), (7, -7), (2, 1), (1000, 1000)]
