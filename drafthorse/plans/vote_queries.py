@@ -334,7 +334,7 @@ _OWNED = _TIP.replace("t.grp = s.grp and s.bx", "t.grp = s.grp and s.op_index %
 @query("j18_nearest_owned_op", f"with {_OWNED} select grp, tip, op_index, round(d2, 9) as d2 from r where rank = 1", ("ops",))
 def j18_owned(v):
     """The nearest operation that a line type owns (here: number modulo 3 is 0)."""
-    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops.filter("op_index % 3 = 0")), 1, near=0.002, cell=0.02).select("grp", "tip", "op_index", F.round("d2", 9).alias("d2"))
+    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops.filter("op_index % 3 = 0")), 1, near=0.002, cell=0.02).select("grp", "tip", "op_index", linetypes.rounded(F.col("d2"), 9).alias("d2"))
 
 
 @query("w08_top_candidates", f"with {_TIP} select grp, tip, op_index, cast(rank as int) as rank from r where rank <= 3", ("ops",))

@@ -64,6 +64,28 @@ def test_same_as_sql_where_distances_tie(spark, tmp_path, name):
     assert got == want
 
 
+def exactly(spark, folder, name, rows):
+    """(rows of the query, rows of its SQL) to the last bit, where these are the embeddings."""
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    cur = c.execute(catalog.ORACLE_SQL[name])
+    at = [[d[0] for d in cur.description].index(x) for x in df.columns]
+    return sorted(tuple(map(repr, r)) for r in df.collect()), sorted(tuple(repr(r[i]) for i in at) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["j18_nearest_owned_op"])
+def test_same_as_sql_where_distances_differ_in_last_bits(spark, tmp_path, name):
+    import random
+
+    rng = random.Random(951)  # all operations lie along one line, each cut in other places
+    point = lambda: [float(rng.randint(-50, 50)), float(rng.randint(-50, 50))]
+    rows = [(3 * i, point() + [float(c) for k in (rng.randint(-40, 40) for _ in range(31)) for c in (3 * k, 7 * k + 1)], 0) for i in range(9)]
+    got, want = exactly(spark, tmp_path, name, rows)
+    assert got == want
+
+
 def test_entry_works_without_the_optional_parts(spark):
     import __spark_entry__ as entry
 
