@@ -339,7 +339,7 @@ def j18_owned(v):
 
 @query("w08_top_candidates", f"with {_TIP} select grp, tip, op_index, cast(rank as int) as rank from r where rank <= 3", ("ops",))
 def w08(v):
-    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 3, near=0.002, cell=0.02).select("grp", "tip", "op_index", "rank")
+    return linetypes.nearest_ops(_tips(v), linetypes.segments(v.ops), 3, near=(0.0005, 0.002), cell=0.02).select("grp", "tip", "op_index", "rank")
 
 
 @query("w08_center_candidates", f"with {_TIP}, n as (select op_index, cast(count(*) as int) as points from ops group by op_index), b as (select m.*, floor(sqrt(d2) / 0.001) as bucket, n.points from m join n on m.op_index = n.op_index), z as (select *, row_number() over (partition by grp, tip order by bucket, op_index % 3, op_index) as place from b) select grp, tip, op_index, cast(place as int) as place from z where place <= 3", ("ops",))
